@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trawl.llm.language import languages
 from trawl.llm.repetition import repetition
 from trawl.llm.simhash import near_duplicates
 from trawl.llm.substrings import repeats
@@ -13,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(_table(spark, sf_dir, "documents"))
 
@@ -25,5 +30,5 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_repetition, op4_simhash, op5_substrings)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_repetition, op4_simhash, op5_substrings)}
 ORACLES: dict[str, str] = {}
