@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm.language import languages
+from trawl.llm.lines import dedup_lines
 from trawl.llm.repetition import repetition
 from trawl.llm.simhash import near_duplicates
 from trawl.llm.substrings import repeats
@@ -30,5 +31,9 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_repetition, op4_simhash, op5_substrings)}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op2_language, op3_repetition, op4_simhash, op5_substrings, op9_lines)}
 ORACLES: dict[str, str] = {}
