@@ -20,9 +20,9 @@ DISTANCE = 40
 DIMENSIONS = 4096
 #: Words of fewer bytes say little about a document; they count, but little.
 LONG_WORD, SHORT_WEIGHT = 4, 0.05
-#: Of the 64 bits that travel with each variant, candidates differ in at most this many.
-#: For two documents DISTANCE apart that is 3.5 standard deviations above the mean of 10.
-CHECK_DISTANCE = 20
+#: Of the 48 bits that travel with each variant, candidates differ in at most this many.
+#: For two documents DISTANCE apart that is 3.5 standard deviations above the mean of 7.5.
+CHECK_BITS, CHECK_DISTANCE = 48, 16
 #: Longer runs of one variant are joined as blocks, in one pass, instead of pair by pair.
 PAIRWISE = 24
 
@@ -82,7 +82,10 @@ def _index(slots: int):
                 keys, refs = keys.ravel(), np.repeat(batch.column(0).to_numpy(), m)
                 # The check bits must not be those of the variant's own segment: take the opposite half's word.
                 word = (np.arange(m) // SEGMENT_BITS < SEGMENTS // 2).astype(np.int64) * 2
-                check = sig[:, word].ravel() if n else np.zeros(0, np.uint64)
+                check = (sig[:, word] >> np.uint64(64 - CHECK_BITS)).ravel() if n else np.zeros(0, np.uint64)
+                # In order of the keys each blob's keys pack to a byte or two, whatever the number of slots.
+                order = np.argsort(keys)
+                keys, refs, check = keys[order], refs[order], check[order]
                 yield by_slot(slot_of(keys, slots), slots, [keys, refs, check], ["keys", "refs", "checks"])
 
     return index
@@ -177,7 +180,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     twentieth) is cut into ten segments of 24 bits. Signatures at distance d have a segment that
     differs by at most one bit whenever d <= 19, and with high probability up to the distance of
     40, where unrelated texts start at about 100. Each signature is indexed under the 240 variants
-    that delete one bit of one segment; equal variants meet, a 64-bit check thins chance
+    that delete one bit of one segment; equal variants meet, a 48-bit check thins chance
     encounters, and all 256 bits decide. Equal signatures are collapsed beforehand, and groups are
     connected components of the verified pairs, so a group of any size costs work in proportion.
 
