@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trawl.llm.decontaminate import contaminated
 from trawl.llm.language import languages
 from trawl.llm.lines import dedup_lines
 from trawl.llm.repetition import repetition
@@ -31,9 +32,13 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_repetition, op4_simhash, op5_substrings, op9_lines)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_repetition, op4_simhash, op5_substrings, op8_decontamination, op9_lines)}
 ORACLES: dict[str, str] = {}
