@@ -1,11 +1,424 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine over the driver's tables, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from trawl.functions.text import crc32_hex, query_terms, to_base64, tokens
+from trawl.operators import ann, documents, rank, relations
+from trawl.operators.ordering import top_k
+from trawl.operators.search import search
+from trawl.plans import tables
+from trawl.schema import IndexSchema, schema_id
+from trawl.sources import changelog, snapshots
 
-def oracles() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, tuple[Query, str | None]] = {}
+
+#: Common table expressions of the SQL side.
+INDEX_SQL = """tok AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+'))) AS term FROM documents),
+post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+lens AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+')) AS doc_len FROM documents),
+corpus AS (SELECT count(*) AS n_docs, sum(doc_len) AS n_tokens, sum(doc_len) / count(*) AS avgdl FROM lens),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+BM25_SQL = "qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * doc_len / avgdl))"
+K = 20
+
+
+def register(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _found[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _found.items()}
+
+
+def oracles() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _found.items() if sql}
+
+
+def _q(query: str) -> str:
+    return "q(term, qtf) AS (VALUES " + ", ".join(f"('{t}', {n})" for t, n in query_terms(query).items()) + ")"
+
+
+def _hits_sql(query: str, score: str, every: bool, k: int | None = K, full: bool = False) -> str:
+    having = f"HAVING count(*) = {len(query_terms(query))}" if every else ""
+    cut = f"ORDER BY round(sum({score}), 6) DESC, doc_id LIMIT {k}" if k else ""
+    value = f"sum({score})" if full else f"round(sum({score}), 6)"
+    return f"SELECT doc_id, {value} AS score FROM post JOIN q USING (term) JOIN df USING (term) JOIN lens USING (doc_id) CROSS JOIN corpus GROUP BY doc_id {having} {cut}"
+
+
+def _semantic_sql(k: int = K, full: bool = False) -> str:
+    value = "sum(qtf * tf * w * w) / (sqrt(sum(tf * tf * w * w)) * (SELECT sqrt(sum(qtf * qtf * w * w)) FROM wq))"
+    return f"SELECT doc_id, {value if full else f'round({value}, 6)'} AS score FROM post JOIN wq USING (term) GROUP BY doc_id ORDER BY round({value}, 6) DESC, doc_id LIMIT {k}"
+
+
+_WQ = "wq AS (SELECT term, qtf, ln((n_docs - df + 0.5) / (df + 0.5) + 1) AS w FROM q JOIN df USING (term) CROSS JOIN corpus)"
+
+
+# Text analysis and index construction
+
+
+@register("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+')) AS n_tokens, len(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+'), lambda x: lower(x)))) AS n_terms FROM documents")
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+@register(f"WITH {INDEX_SQL} SELECT term, doc_id, tf FROM post")
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.documents(spark, sf_dir).postings()
+
+
+@register(f"WITH {INDEX_SQL} SELECT n_docs, n_tokens::BIGINT AS n_tokens, round(avgdl, 6) AS avgdl FROM corpus")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.documents(spark, sf_dir).corpus().withColumn("avgdl", F.round("avgdl", 6))
+
+
+@register(f"WITH {INDEX_SQL} SELECT term, df FROM df")
+def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.documents(spark, sf_dir).document_frequencies()
+
+
+@register(f"WITH {INDEX_SQL}, r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS position FROM post) SELECT term, position, doc_id FROM r WHERE position % 8 = 0")
+def skip_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.documents(spark, sf_dir).skip_pointers().withColumn("position", F.col("position").cast("long"))
+
+
+@register("SELECT '" + tables.HINTED + "' AS query, doc_id, CASE WHEN lang = 'fr' THEN 0.75 ELSE 0.25 END::DOUBLE AS hint FROM documents WHERE n_chars > " + str(tables.LONG))
+def query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hinted(spark, sf_dir).query_values()
+
+
+@register(f"WITH {INDEX_SQL} SELECT term, doc_id, tf FROM post JOIN documents USING (doc_id) WHERE lang <> 'en'")
+def postings_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tables.documents(spark, sf_dir)
+    return index.without(index.docs.filter("lang = 'en'").select("doc_id")).postings()
+
+
+# Ranking
+
+
+@register(f"WITH {INDEX_SQL}, {_q('the of that')} {_hits_sql('the of that', 'qtf * tf', True)}")
+def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "the of that", K, "lexical")
+
+
+@register(f"WITH {INDEX_SQL}, {_q('license under the')} {_hits_sql('license under the', BM25_SQL, True)}")
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "license under the", K)
+
+
+@register(f"WITH {INDEX_SQL}, {_q('license of Apache that')} {_hits_sql('license of Apache that', BM25_SQL, False)}")
+def search_bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "license of Apache that", K, "or")
+
+
+@register(f"WITH {INDEX_SQL}, {_q('the the that')} {_hits_sql('the the that', BM25_SQL, True)}")
+def search_bm25_repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "the the that", K)
+
+
+@register(
+    f"WITH {INDEX_SQL}, q0(q, n) AS (VALUES ('license', 1), ('apache', 1)), q AS (SELECT term, sum(n) AS qtf FROM df, q0 WHERE levenshtein(term, q) <= 1 GROUP BY term ORDER BY term LIMIT 2000) "
+    f"SELECT doc_id, round(sum({BM25_SQL}), 6) AS score FROM post JOIN q USING (term) JOIN df USING (term) JOIN lens USING (doc_id) CROSS JOIN corpus GROUP BY doc_id HAVING count(*) = (SELECT count(*) FROM q) ORDER BY score DESC, doc_id LIMIT {K}"
+)
+def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "license apache", K, "fuzzy", distance=1)
+
+
+@register(f"WITH {INDEX_SQL}, q0(q, n) AS (VALUES ('license', 1), ('general', 1)) SELECT term, sum(n)::BIGINT AS qtf FROM df, q0 WHERE levenshtein(term, q) <= 2 GROUP BY term ORDER BY term LIMIT 2000")
+def fuzzy_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.expansions(tables.documents(spark, sf_dir), "license general", 2)
+
+
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(f"SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains({_ASCII.format('''text || ' ' || coalesce(lang || ' ', '') || coalesce(source || ' ', '')''')}, 'under the mit license') ORDER BY doc_id LIMIT {K}")
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tables.documents(spark, sf_dir)
+    index.schema = IndexSchema.parse({"fields": {"text": "text", "lang": "text", "source": "text"}})
+    return rank.rank(index, "Under the MIT License", K, "phrase")
+
+
+@register(f"WITH {INDEX_SQL}, {_q('that of license')}, {_WQ} {_semantic_sql()}")
+def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "that of license", K, "semantic")
+
+
+@register(
+    f"WITH {INDEX_SQL}, {_q('license under the')}, {_WQ}, b AS ({_hits_sql('license under the', BM25_SQL, True, 2 * K, True)}), s AS ({_semantic_sql(2 * K, True)}), l AS ({_hits_sql('license under the', 'qtf * tf', True, None)}), "
+    f"u AS (SELECT doc_id, score * 0.7 AS score FROM b UNION ALL SELECT doc_id, score * 1.2 FROM s UNION ALL SELECT doc_id, score * 0.4 FROM l) SELECT doc_id, round(sum(score), 6) AS score FROM u GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {K}"
+)
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.documents(spark, sf_dir), "license under the", K, "hybrid", weights=(0.7, 1.2, 0.4))
+
+
+@register(
+    f"WITH {INDEX_SQL}, {_q(tables.HINTED)}, b AS ({_hits_sql(tables.HINTED, BM25_SQL, True, K, True)}), h AS (SELECT doc_id, 10.0::DOUBLE * CASE WHEN lang = 'fr' THEN 0.75 ELSE 0.25 END AS score FROM documents WHERE n_chars > {tables.LONG}), "
+    f"u AS (SELECT * FROM b UNION ALL SELECT * FROM h) SELECT doc_id, round(sum(score), 6) AS score FROM u GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {K}"
+)
+def search_query_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank(tables.hinted(spark, sf_dir), tables.HINTED, K)
+
+
+# Filters and pages
+
+_LABELLED = "labelled AS (SELECT d.*, l.quality, l.flag FROM documents d LEFT JOIN (SELECT doc_id, max(quality)::DOUBLE AS quality, max(toxic) = 1 AS flag FROM labels GROUP BY doc_id) l USING (doc_id))"
+
+
+def _filtered_sql(condition: str, start: int = 0, size: int = 500, pre: bool = False) -> str:
+    hits = _hits_sql("the of", BM25_SQL, False, None)
+    need = start + size
+    inner = f"SELECT * FROM ({hits}) JOIN labelled USING (doc_id) WHERE {condition} ORDER BY score DESC, doc_id LIMIT {need}" if pre else f"SELECT * FROM (SELECT * FROM ({hits}) ORDER BY score DESC, doc_id LIMIT {need}) JOIN labelled USING (doc_id) WHERE {condition}"
+    return f"WITH {INDEX_SQL}, {_q('the of')}, {_LABELLED}, f AS ({inner}), r AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f) SELECT rank, doc_id, score FROM r WHERE rank > {start} AND rank <= {start + size}"
+
+
+def _filtered(spark: SparkSession, sf_dir: str, mode: str = "post", **params) -> DataFrame:
+    hits, _ = search(tables.labelled(spark, sf_dir), {"q": "the of", "mode": "or", "size": 500} | params, mode)
+    return hits.select(F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@register(_filtered_sql("source = 'src3' AND lang = 'en'"))
+def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, filter_source="src3", filter_lang="en")
+
+
+@register(_filtered_sql("quality = 1"))
+def filter_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, filter_quality="1")
+
+
+@register(_filtered_sql("n_chars BETWEEN 1000 AND 3000"))
+def filter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, range_field="n_chars", range_min="1000", range_max="3000")
+
+
+@register(_filtered_sql("n_chars >= 2000"))
+def filter_number_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, filter_n_chars_min="2000", filter_n_chars_max="none")
+
+
+@register(_filtered_sql("flag"))
+def filter_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, flag="true")
+
+
+@register(_filtered_sql("lang = 'en' AND NOT flag"))
+def filter_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, tag="en", filter_flag="false")
+
+
+@register(_filtered_sql("quality = 1", 10, 30, pre=True))
+def filter_before_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, "pre", filter_quality="1", **{"from": 10, "size": 30})
+
+
+@register(_filtered_sql("lang = 'en'", 20, 40))
+def page_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, filter_lang="en", **{"from": 20, "size": 40})
+
+
+@register(f"WITH {INDEX_SQL}, {_q('the of')}, h AS ({_hits_sql('the of', BM25_SQL, False, 60)}) SELECT count(*) AS total FROM h JOIN documents USING (doc_id) WHERE lang = 'en'")
+def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(tables.documents(spark, sf_dir), {"q": "the of", "mode": "or", "from": 20, "size": 40, "filter_lang": "en"})[1]
+
+
+# Vectors
+
+_E = "e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings)"
+_COSINE = "round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9), 6)"
+
+
+@register(f"WITH {_E} SELECT b.doc_id, {_COSINE} AS score FROM e a, e b WHERE a.doc_id = (SELECT min(doc_id) FROM e) ORDER BY score DESC, b.doc_id LIMIT {K}")
+def vector_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = tables.embeddings(spark, sf_dir)
+    query = vecs.orderBy("doc_id").first()["vec"]
+    return top_k(rank.vector(rank.SearchIndex(vecs, tables.VECTORS), query), K)
+
+
+@register(f"WITH {_E}, p AS (SELECT a.doc_id, b.doc_id AS neighbour, {_COSINE} AS similarity FROM e a JOIN e b ON a.doc_id <> b.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, neighbour) AS rank FROM p) SELECT * FROM r WHERE rank <= 16")
+def vector_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbour_graph(tables.embeddings(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+#: Lists that a query searches, of eight: the vectors of the tables cluster little.
+PROBES = 6
+
+
+@register()
+def vector_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is a query; approximate, so held against the exact graph by recall."""
+    vecs = tables.embeddings(spark, sf_dir)
+    queries_ = vecs.select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return ann.search_lists(ann.InvertedLists.build(vecs), queries_, 10, PROBES)
+
+
+@register()
+def vector_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = ann.neighbour_graph(tables.embeddings(spark, sf_dir), 9).select(F.col("doc_id").alias("query_id"), F.col("neighbour").alias("doc_id"))
+    return ann.recall_at_k(vector_ivf(spark, sf_dir), exact, 9)
+
+
+# References and views
+
+
+@register("SELECT c_custkey, c_nationkey::VARCHAR AS relation_ref, 'nation' AS target, n_nationkey::VARCHAR AS target_id, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def relation_inline_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.collections(spark, sf_dir)
+    out = relations.inline(c["customer"].docs, "customer", c, 1)
+    return out.select("c_custkey", "relation_ref", F.col("relation.index").alias("target"), F.col("relation.id").alias("target_id"), F.col("relation.doc.n_name").alias("n_name"))
+
+
+@register("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def relation_inline_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.collections(spark, sf_dir)
+    out = relations.inline(c["orders"].docs, "orders", c, 3)
+    return out.select("o_orderkey", F.col("relation.doc.c_name").alias("c_name"), F.col("relation.relation.doc.n_name").alias("n_name"), F.col("relation.relation.relation.doc.r_name").alias("r_name"))
+
+
+@register(
+    f"WITH {INDEX_SQL}, {_q('license under the')}, h AS ({_hits_sql('license under the', BM25_SQL, True, 60)}), r AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id FROM h) "
+    "SELECT min(rank) AS position, source AS ref, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS children FROM r JOIN documents USING (doc_id) GROUP BY source"
+)
+def relation_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = search(tables.documents(spark, sf_dir), {"q": "license under the", "size": 60})
+    return relations.hierarchy(hits, "source").withColumn("children", F.array_join("children", ",")).withColumn("position", F.col("position").cast("long"))
+
+
+VIEW = {
+    "base_index": "orders",
+    "select": ["o_orderkey", "o_totalprice"],
+    "relations": [{"name": "buyer", "field": "o_custkey", "target_index": "customer", "select": ["c_name"], "relations": [{"name": "home", "field": "c_nationkey", "target_index": "nation", "select": ["n_name"]}]}],
+}
+
+
+@register("SELECT o_orderkey, o_totalprice, c_name AS buyer, n_name AS home FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def view_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.collections(spark, sf_dir)
+    out = relations.expand(c["orders"].docs, relations.View.parse(VIEW, c), c)
+    return out.select("o_orderkey", "o_totalprice", F.col("buyer.c_name").alias("buyer"), F.col("buyer.home.n_name").alias("home"))
+
+
+@register("SELECT conv_id::VARCHAR AS ref, min(rank) AS position, count(*) AS n FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id")
+def hierarchy_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tables.table(spark, sf_dir, "conversations").filter("text is not null")
+    from trawl.operators.ordering import global_rank
+
+    keyed = turns.select("conv_id", (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"))
+    return relations.hierarchy(global_rank(keyed, "doc_id"), "conv_id").select("ref", "position", "n")
+
+
+# Stored documents
+
+
+@register("SELECT doc_id FROM documents WHERE source = 'src3'")
+def stored_match_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.column_match(tables.table(spark, sf_dir, "documents"), "source", "src3")
+
+
+@register("SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'de'")
+def stored_match_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.column_match(tables.table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", "source")), "tags", "de")
+
+
+@register("SELECT event_id AS doc_id FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) = 26")
+def stored_match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("raw"))
+    return documents.stored_match(events, "k", 26.0)
+
+
+@register("SELECT p_partkey AS doc_id, p_name FROM part WHERE p_partkey = 7")
+def lookup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("ext_id"), "p_name")
+    return documents.lookup(part, "007").select("doc_id", "p_name")
+
+
+_EVENT_SCHEMA = {"fields": {"k": "number", "event_type": "text", "user_id": "number", "value": "number"}, "doc_id": {"field": "user_id", "type": "number"}}
+
+
+@register("WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT event_id AS ordinal, CASE WHEN n = 1 THEN 'accepted' ELSE 'document id exists' END AS outcome FROM e")
+def bulk_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.table(spark, sf_dir, "events")
+    batch = events.select(F.col("event_id").alias("ordinal"), documents.merged(F.col("props"), F.to_json(F.struct("event_type", "user_id", "value"))).alias("raw"))
+    good, bad = documents.bulk(batch, IndexSchema.parse(_EVENT_SCHEMA))
+    return good.select("ordinal", F.lit("accepted").alias("outcome")).unionAll(bad.select("ordinal", F.col("error").alias("outcome")))
+
+
+@register("""SELECT event_id AS doc_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind, value FROM events""")
+def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.table(spark, sf_dir, "events")
+    raw = documents.merged(F.col("props"), F.to_json(F.struct(F.col("event_type").alias("kind"), "value")))
+    v = F.parse_json(raw)
+    return events.select(F.col("event_id").alias("doc_id"), *(F.variant_get(v, f"$.{n}", t).alias(n) for n, t in (("k", "bigint"), ("kind", "string"), ("value", "double"))))
+
+
+def _events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", changelog.DELETE).otherwise(changelog.UPSERT)
+    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("op_id"), op.alias("op"), F.col("user_id").alias("doc_id"), F.col("props").alias("raw"))
+
+
+@register("SELECT user_id AS doc_id, max(event_id) AS op_id, arg_max(props, event_id) AS raw FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def changelog_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changelog.fold(_events_log(spark, sf_dir))
+
+
+@register("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")
+    return documents.deleted(docs, labels.filter("toxic = 1")).select("doc_id", "text")
+
+
+@register("SELECT doc_id, text, coalesce(l.quality, -1) AS quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(-1).alias("quality"))
+    labels = tables.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return documents.upserted(docs, docs.drop("quality").join(labels, "doc_id"))
+
+
+@register("WITH r AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 AS chunk FROM orders) SELECT chunk, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id, count(*) AS n FROM r GROUP BY chunk")
+def snapshot_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.chunk_bounds(tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
+
+
+@register(f"WITH {INDEX_SQL} SELECT 'documents' AS name, n_docs, n_tokens::BIGINT AS n_tokens, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM post) AS n_postings FROM corpus")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tables.documents(spark, sf_dir)
+    terms = index.document_frequencies().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return index.corpus().select(F.lit("documents").alias("name"), "n_docs", "n_tokens").crossJoin(F.broadcast(terms))
+
+
+@register(f"SELECT '{schema_id(_EVENT_SCHEMA)}' AS schema_id")
+def schema_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = json.dumps({"schema_version": 1} | _EVENT_SCHEMA, sort_keys=True, separators=(",", ":"))
+    return spark.range(1).select(crc32_hex(F.lit(body)).alias("schema_id"))
+
+
+@register("SELECT doc_id, octet_length(encode(text)) AS bytes, base64(encode(text)) AS content FROM documents WHERE text IS NOT NULL")
+def image_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return docs.select("doc_id", F.octet_length("data").cast("long").alias("bytes"), to_base64(F.col("data")).alias("content"))
+
+
+@register("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source")
+def doc_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tables.documents(spark, sf_dir)
+    index.schema = IndexSchema.parse({"fields": {"lang": "text", "source": "text"}})
+    parts = [index.doc_values(f).groupBy(F.lit(f).alias("field"), "value").agg(F.count("*").alias("n")) for f in ("lang", "source")]
+    return parts[0].unionAll(parts[1])
+
+
+@register("SELECT op_id, row_number() OVER (ORDER BY op_id) AS n FROM (SELECT event_id AS op_id FROM events WHERE event_id > (SELECT max(event_id) - 50 FROM events))")
+def changelog_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _events_log(spark, sf_dir)
+    last = log.agg(F.max("op_id")).first()[0]
+    return changelog.chunk(log, last - 50, 1 << 20).select("op_id", F.row_number().over(Window.orderBy("op_id")).cast("long").alias("n"))
