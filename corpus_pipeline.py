@@ -5,17 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.exchange import stored
+from trawl.llm.decontaminate import contaminated
+from trawl.llm.exchange import fresh, sized, stored
+from trawl.llm.language import languages
+from trawl.llm.lines import dedup_lines
+from trawl.llm.packing import packed
 from trawl.llm.simhash import near_duplicates
 
+#: Bytes that a row of a single id takes in a broadcast table, amply.
+ID_BYTES = 32
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text no language model accepts go, also those with a null or empty text."""
+    own, other = fresh("_own_hash", docs.columns), fresh("_other_hash", docs.columns)
+    bad = stored(languages(docs).filter("not accepted").select(F.col("text_hash").alias(other)).distinct(), "rejected")
+    hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    return hashed.join(sized(bad, ID_BYTES), F.col(own) == F.col(other), "left_anti").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat another one, or nearly so, go; so does a document that has no other line. n_chars follows the text."""
+    left = dedup_lines(docs).filter("lines_removed = 0 or trim(text) <> ''")
+    n_chars = F.when(F.col("lines_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)
+
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays; rows with a null doc_id stay as they are."""
-    gone = near_duplicates(docs).filter(~F.col("keep")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(near_duplicates(docs).filter(~F.col("keep")).select("doc_id"), "duplicates")
+    return docs.join(sized(gone, ID_BYTES), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark, exactly or in proximity, go; rows with a null doc_id stay as they are."""
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = stored(contaminated(docs, tests).select("doc_id").distinct(), "contaminated")
+    return docs.join(sized(gone, ID_BYTES), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' tokens in sequences of equal capacity."""
+    return packed(docs)
 
 
-STAGES = [("near duplicates", drop_near_duplicates)]
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+#: None of the five operators can be written in SQL over whole tables; the tests compare with brute force.
 ORACLE_SQL = None
 
 

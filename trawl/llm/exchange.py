@@ -16,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trawl.llm.arrowtext import mix
 
 ENTRIES_A_SLOT = 2_000_000
+#: The largest side of a join, in bytes, that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def n_slots(spark: SparkSession, entries: float, per_slot: int = ENTRIES_A_SLOT) -> int:
@@ -89,6 +92,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores added until no column has it; Spark compares names without case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The side of a join, marked for broadcast only if its counted rows take at most so many bytes; df should be cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -187,7 +187,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rarest: float =
 
 
 def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, predicted, bits, margin, n_chars, accepted) for every document.
+    """(doc_id, predicted, bits, margin, n_chars, accepted, text_hash) for every document.
 
     One model per value of the label column, counted over all labelled documents: interpolated
     Kneser-Ney over 4 characters, kept as sorted arrays of gram hashes. `predicted` has the lowest
@@ -199,7 +199,8 @@ def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     A null or empty text, or one without letters, has no prediction and is rejected. If no document
     has a label, nothing can be predicted and everything is rejected. Equal cross-entropies go to
     the first language by name. Every row is judged by itself, also if its doc_id is null or
-    repeated. Extra columns are ignored.
+    repeated, and equal texts are judged alike, so `text_hash` (Spark's xxhash64) finds the rows a
+    judgement is about. Extra columns are ignored.
     """
     spark = docs.sparkSession
     model = fit(docs, text, lang)
@@ -224,16 +225,16 @@ def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
                 ranked = np.sort(bits, axis=1)
                 margin = ranked[:, 1] - ranked[:, 0] if len(names) > 1 else np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(names[best], pa.string(), mask=~ok), pa.array(ranked[:, 0], mask=~ok), pa.array(margin, mask=~ok), pa.array(sizes.astype(np.int64))],
-                    names=["doc_id", "predicted", "bits", "margin", "n_chars"],
+                    [batch.column(0).slice(i, j - i), pa.array(names[best], pa.string(), mask=~ok), pa.array(ranked[:, 0], mask=~ok), pa.array(margin, mask=~ok), pa.array(sizes.astype(np.int64)), batch.column(2).slice(i, j - i)],
+                    names=["doc_id", "predicted", "bits", "margin", "n_chars", "text_hash"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scored = stored(rows.mapInArrow(score, "doc_id long, predicted string, bits double, margin double, n_chars long"), "languages")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
+    scored = stored(rows.mapInArrow(score, "doc_id long, predicted string, bits double, margin double, n_chars long, text_hash long"), "languages")
     scored = scored.withColumn("_class", sum((F.col("n_chars") >= x).cast("int") for x in LENGTH_CLASSES))
     group = ["predicted", "_class"]
     middle = scored.filter("predicted is not null").groupBy(*group).agg(F.percentile_approx("bits", 0.5, 10000).alias("_mid"))
     spread = scored.join(F.broadcast(middle), group).groupBy(*group).agg(F.first("_mid").alias("_mid"), F.percentile_approx(F.abs(F.col("bits") - F.col("_mid")), 0.5, 10000).alias("_mad"))
     bound = spread.select(*group, (F.col("_mid") + DEVIATIONS * F.greatest(F.col("_mad"), F.lit(LEAST_DEVIATION))).alias("_bound"))
     out = scored.join(F.broadcast(bound), group, "left")
-    return out.select("doc_id", "predicted", F.round("bits", 6).alias("bits"), F.round("margin", 6).alias("margin"), "n_chars", F.coalesce(F.col("bits") <= F.col("_bound"), F.lit(False)).alias("accepted"))
+    return out.select("doc_id", "predicted", F.round("bits", 6).alias("bits"), F.round("margin", 6).alias("margin"), "n_chars", F.coalesce(F.col("bits") <= F.col("_bound"), F.lit(False)).alias("accepted"), "text_hash")
