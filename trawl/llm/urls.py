@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.llm.arrowtext import mix
 from trawl.llm.exchange import stored
 
 #: Keys whose pages are unwanted: a domain covers its subdomains, a key with a path that one page.
@@ -21,6 +22,9 @@ LISTED = (
 #: Filters of more bytes than this aren't shipped to the tasks; membership is then decided by a join.
 BROADCAST_BYTES = 256 << 20
 
+#: Once so few keys are left to tell apart, the cascade is finished on the driver: 16 bytes a key.
+DRIVER_KEYS = 500_000
+
 #: Host of a URL in lower case, and host with path: scheme, user, port, query, fragment and a closing slash don't count.
 HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)"
 PAGE = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?[^/:?#]+(?::[0-9]*)?(/[^?#]*)"
@@ -43,26 +47,27 @@ def url_keys(url: Column) -> Column:
 
 
 class Bloom:
-    """A Bloom filter of m bits and k hashes; positions come from two 64-bit hashes of a key."""
+    """A Bloom filter of m bits and k hashes; positions come from two 64-bit hashes of a key, salted so that each level errs on its own."""
 
-    def __init__(self, n: int, p: float):
+    def __init__(self, n: int, p: float, salt: int = 0):
+        self.salt = mix(np.array([salt + 1], dtype=np.uint64))[0]
         p = min(0.5, max(p, 1e-9))
         self.k = max(1, round(-math.log2(p)))
         self.m = max(64, -(-math.ceil(n * self.k / math.log(2)) // 64) * 64)
         self.words = np.zeros(self.m // 64, dtype=np.uint64)
 
     def positions(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        step = b.view(np.uint64) | np.uint64(1)
-        return (a.view(np.uint64)[:, None] + np.arange(self.k, dtype=np.uint64) * step[:, None]) % np.uint64(self.m)
+        step = mix(b.view(np.uint64) ^ self.salt) | np.uint64(1)
+        return (mix(a.view(np.uint64) ^ self.salt)[:, None] + np.arange(self.k, dtype=np.uint64) * step[:, None]) % np.uint64(self.m)
 
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = self.positions(a, b)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=1)
 
-    def fill(self, keys: DataFrame) -> Bloom:
+    def fill(self, keys: DataFrame | pa.Table) -> Bloom:
         """Sets the bits of all keys (a, b): tasks send 64-bit words, which Spark combines by OR."""
         shape = Bloom.__new__(Bloom)
-        shape.k, shape.m = self.k, self.m
+        shape.k, shape.m, shape.salt = self.k, self.m, self.salt
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -72,6 +77,10 @@ class Bloom:
                 value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), new) if len(new) else at
                 yield pa.RecordBatch.from_arrays([pa.array(word[new]), pa.array(value.view(np.int64))], names=["word", "bits"])
 
+        if isinstance(keys, pa.Table):
+            for batch in bits(iter(keys.select(["a", "b"]).combine_chunks().to_batches())):
+                self.words[batch.column(0).to_numpy()] |= batch.column(1).to_numpy().view(np.uint64)
+            return self
         found = keys.select("a", "b").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         return self
@@ -105,13 +114,20 @@ class Cascade:
         p = math.sqrt(0.5) * sizes[0] / max(1, sizes[1])
         used, side = 0, 0
         while sizes[side]:
-            level = Bloom(sizes[side], p if not out.levels else 0.5)
+            level = Bloom(sizes[side], p if not out.levels else 0.5, len(out.levels))
             used += level.m // 8
             if used > most_bytes:
                 return None
             level.fill(sides[side])
             out.levels.append(level)
             side = 1 - side
+            if out.levels[1:] and sum(sizes) <= DRIVER_KEYS:
+                # What is left fits in the driver's memory, so the last, ever smaller levels need no jobs.
+                sides = [x if isinstance(x, pa.Table) else x.select("a", "b").toArrow() for x in sides]
+                has = level.has(sides[side].column("a").to_numpy(), sides[side].column("b").to_numpy())
+                sides[side] = sides[side].filter(pa.array(has))
+                sizes[side] = sides[side].num_rows
+                continue
             shared = spark.sparkContext.broadcast(level)
 
             def passing(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
