@@ -34,9 +34,9 @@ def test_templates_go_and_the_rest_stays(spark):
 
 def test_join_gives_what_the_broadcast_gives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").unionByName(spark.createDataFrame(SITE, PAGES))
-    a = sorted(map(tuple, html.page_texts(pages).collect()))
-    assert a == sorted(map(tuple, html.page_texts(pages, broadcast_bytes=-1).collect()))
-    assert sum(r[3] for r in a) > 10
+    a = sorted(map(tuple, html.page_texts(pages).collect()), key=str)
+    assert a == sorted(map(tuple, html.page_texts(pages, broadcast_bytes=-1).collect()), key=str)
+    assert sum(r[3] for r in a) >= 10
 
 
 def brute_texts(rows, least=html.LEAST_PAGES, share=html.LEAST_SHARE):
@@ -124,7 +124,7 @@ def test_cascade_is_exact(spark):
 
 
 def test_url_edges(spark):
-    some = [(1, None), (2, ""), (3, "nothing"), (4, "http://spam.example/"), (4, "http://spam.example/"), (None, "//a.spam.example./x"), (5, "http://good.example/bad/page/"), (6, "http://good.example/bad"), (7, "http://" + "a." * 3000 + "spam.example")]
+    some = [(1, None), (2, ""), (3, "nothing"), (4, "http://spam.example/"), (4, "http://spam.example/"), (None, "//a.spam.example./x"), (5, "http://good.example/bad/page/"), (6, "http://good.example/bad"), (7, "http://" + "a." * 120 + "spam.example/" + "x" * 100_000)]
     df = spark.createDataFrame(some, "page_id long, url string")
     keys = spark.createDataFrame([("spam.example",), ("Spam.Example",), ("good.example/bad/page",)], "key string")
     out = [(r["page_id"], r["listed"], r["matched"]) for r in urls.url_filter(df, keys).collect()]

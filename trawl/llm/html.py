@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,12 +50,14 @@ class Page:
         self.chunks: list[str] = []
         self.elements: list[tuple[int, int, int]] = []
         self._open: list[tuple[str, int, list[str]]] = [("", 0, [])]
+        self._count: Counter[str] = Counter()  # of open elements, so that deep pages aren't searched in vain
         self._hidden = 0
         last, at, end = html.rfind(">"), 0, len(html)
         while at < end:
             m = _MARKUP.search(html, at, last + 1) if at <= last else None
-            if m is None:
-                self._text(html[at:])
+            if m is None:  # no tag can end any more, but a comment may begin
+                comment = html.find("<!--", at)
+                self._text(html[at:] if comment < 0 else html[at:comment])
                 break
             self._text(html[at : m.start()])
             at = m.end()
@@ -87,18 +90,21 @@ class Page:
         self.chunks.append(text)
 
     def _start(self, name: str) -> None:
-        if name in _ENDS_P and any(t[0] == "p" for t in self._open):
+        if name in _ENDS_P:
             self._close_within({"p"}, {"table", "td", "th", "button", "object"})
         if name in _ITEMS:
             self._close_within(*_ITEMS[name])
-        if name not in INLINE and not self._hidden:
+        if name not in INLINE and name not in HIDDEN and not self._hidden:
             self.chunks.append("\n")
         if name in VOID:
             return
         self._open.append((name, len(self.chunks), []))
+        self._count[name] += 1
         self._hidden += name in HIDDEN
 
     def _close_within(self, names: set[str], scope: set[str]) -> None:
+        if not any(self._count[n] for n in names):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             tag = self._open[k][0]
             if tag in names:
@@ -109,6 +115,8 @@ class Page:
                 return
 
     def _end(self, name: str) -> None:
+        if not self._count[name]:
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] == name:
                 while len(self._open) > k:
@@ -117,6 +125,7 @@ class Page:
 
     def _close(self) -> None:
         tag, first, content = self._open.pop()
+        self._count[tag] -= 1
         self._hidden -= tag in HIDDEN
         if tag not in INLINE and not self._hidden and tag not in HIDDEN:
             self.chunks.append("\n")
