@@ -116,8 +116,8 @@ def test_repetition_edges(spark):
     out = repetition.repetition(df.select("doc_id", "text").unionAll(spam)).collect()
     keep = [(r["doc_id"], r["keep"]) for r in out]
     assert len(out) == df.count() + 2
-    assert (8, False) in keep and (9, False) in keep
-    assert all(k for d, k in keep if d not in (8, 9))
+    # Document 6 is one sentence twice, but for a word.
+    assert {d for d, k in keep if not k} == {6, 8, 9}
     assert repetition.repetition(df.limit(0)).count() == 0
 
 
@@ -246,7 +246,7 @@ def test_simhash_near_copies(spark, docs):
     for i, t in enumerate(base):
         w = t.split(" ")
         for k in rng.choice(len(w), max(1, len(w) // 50), replace=False):
-            w[k] = "changed"
+            w[k] = f"changed{k}"
         some += [(2 * i, t), (2 * i + 1, " ".join(w))]
     out = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(some, DOCS)).collect()}
     assert sum(out[2 * i] == out[2 * i + 1] for i in range(len(base))) >= 0.9 * len(base)

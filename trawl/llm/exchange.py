@@ -67,6 +67,7 @@ def gathered(table: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=dtype), *(unpack(b, dtype) for b in table.column(name).to_pylist())])
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -87,7 +88,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: lineage ends here, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/trawl-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Once the table stands, the shuffles behind it are needless; Spark removes their files at the end of the write.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,20 +13,26 @@ from pyspark.sql import types as T
 
 from trawl.llm.arrowtext import BYTE_CODES, NEWLINE, Pieces, buffers, gram_hash, mix, pieces, slices
 from trawl.llm.components import components
-from trawl.llm.exchange import by_slot, gathered, n_slots, pack, slot_of, stored, unpack
+from trawl.llm.exchange import by_slot, fresh, gathered, n_slots, slot_of, stored
 
 #: Characters of a shingle, and the least Jaccard similarity of two lines' shingle sets.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines of fewer characters are left alone: they repeat by chance.
 LEAST_CHARS = 20
-#: Lines of similarity 0.8 share a band with probability 0.99.
-BANDS, ROWS = 9, 4
-#: Blocks up to this size are verified pair by pair, larger ones by breadth-first search.
-PAIRWISE = 16
+#: Lines of similarity 0.8 share a band with probability 0.99, of 0.3 with 0.011: what unrelated
+#: lines add to the candidates grows with the square of the corpus, so it must be small.
+BANDS, ROWS = 15, 6
+#: Of the 48 bits of a line's sketch, candidates of similarity 0.8 share 43.2 on average, and these with probability 0.999.
+SKETCH_BITS, SKETCH_SAME = 48, 36
+#: Longer runs of one band are joined to their least line, in one pass, instead of pair by pair.
+PAIRWISE = 24
+#: Text that is verified in one group, about; lines that share a band with the same line stay together.
+GROUP_BYTES = 4 << 20
 #: Candidate lines whose ids take at most this many bytes are looked up from a broadcast array, others by a join.
 BROADCAST_BYTES = 16 << 20
 
 _BINS = BANDS * ROWS
+_MIXED = mix(np.arange(1, 0x10001, dtype=np.uint64))
 
 
 def _shingles(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,22 +45,19 @@ def _shingles(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.repeat(np.arange(int(long.sum())), chars[long])
     n = max(0, len(codes) - SHINGLE + 1)
     inside = line[:n] == line[len(line) - n :]
-    return np.flatnonzero(long), gram_hash(mix(codes + np.uint64(1)), SHINGLE)[inside], line[:n][inside]
+    mixed = np.take(_MIXED, np.minimum(codes, 0xFFFF).astype(np.int64))
+    rare = np.flatnonzero(codes > 0xFFFF)
+    mixed[rare] = mix(codes[rare] + np.uint64(1))
+    return np.flatnonzero(long), gram_hash(mixed, SHINGLE)[inside], line[:n][inside]
 
 
 def minhash(shingles: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash of n lines: the least hash in each bin, empty bins filled from the next bin on the right."""
-    sig = np.full((n, _BINS), np.uint64(1 << 63), dtype=np.uint64)
-    for lo in range(0, n, 1 << 17):
-        own = slice(*np.searchsorted(line, [lo, lo + (1 << 17)]))
-        h = shingles[own]
-        bins = ((h >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
-        key = np.sort(((((line[own] - lo).astype(np.uint64) << np.uint64(6)) | bins) << np.uint64(40)) | (h & np.uint64((1 << 40) - 1)))
-        cell = key >> np.uint64(40)
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(key) else np.zeros(0, np.int64)
-        cell = cell[first].astype(np.int64)
-        sig[lo + (cell >> 6), cell & 63] = key[first] & np.uint64((1 << 40) - 1)
     empty = np.uint64(1 << 63)
+    sig = np.full(n * _BINS, empty, dtype=np.uint64)
+    bins = ((shingles >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
+    np.minimum.at(sig, line * _BINS + bins.astype(np.int64), shingles & np.uint64((1 << 40) - 1))
+    sig = sig.reshape(n, _BINS)
     for _ in range(2):
         for b in range(_BINS - 1, -1, -1):
             bare = sig[:, b] >= empty
@@ -77,97 +80,120 @@ def _bands(slots: int):
                 key = np.zeros((len(which), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
                     key = mix(key * base + sig[:, r::ROWS])
-                refs = np.repeat(_line_hash(p, which), BANDS)
-                yield by_slot(slot_of(key.ravel(), slots), slots, [key.ravel(), refs], ["keys", "refs"])
+                # One bit of each of 48 minima: equal minima give equal bits, others do half of the time.
+                bits = (sig[:, :SKETCH_BITS] * base >> np.uint64(63)) << np.arange(SKETCH_BITS, dtype=np.uint64)
+                key, refs, sketch = key.ravel(), np.repeat(_line_hash(p, which), BANDS), np.repeat(bits.sum(axis=1, dtype=np.uint64), BANDS)
+                # Within a slot 32 bits of a key tell bands apart; in their order they pack to half of that.
+                slot, key = slot_of(key, slots), key.astype(np.uint32)
+                order = np.argsort(key)
+                yield by_slot(slot[order], slots, [key[order], refs[order], sketch[order]], ["keys", "refs", "sketches"])
 
     return bands
 
 
 def _blocks(table: pa.Table) -> pa.Table:
-    """The sets of at least two lines that share a band, each once per slot."""
-    keys, refs = gathered(table, "keys", np.uint64), gathered(table, "refs", np.int64)
+    """(head, line): lines that share a band and whose sketches allow for the similarity, by the least line they match.
+
+    Every such pair is together in the rows of some head: either both lines have the same least
+    match, or one is the other's, or the pair has a row of its own. Long runs go to their least
+    line as a whole. The head itself is one of its lines.
+    """
+    keys, refs, sketch = gathered(table, "keys", np.uint32), gathered(table, "refs", np.int64), gathered(table, "sketches", np.uint64)
     order = np.argsort(keys)
-    keys, refs = keys[order], refs[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    length = np.diff(np.append(start, len(keys)))
+    keys, refs, sketch = keys[order], refs[order], sketch[order]
+    length = np.diff(np.append(_firsts(keys), len(keys)))
     some = np.repeat(length > 1, length)
-    keys, refs = keys[some], refs[some]
+    keys, refs, sketch = keys[some], refs[some], sketch[some]
     order = np.lexsort((refs, keys))
-    keys, refs = keys[order], refs[order]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])]) if len(keys) else np.zeros(0, bool)
-    keys, refs = keys[fresh], refs[fresh]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    keys, refs, sketch = keys[order], refs[order], sketch[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
+    keys, refs, sketch = keys[fresh], refs[fresh], sketch[fresh]
+    start = _firsts(keys)
     length = np.diff(np.append(start, len(keys)))
-    two = start[length == 2]
-    pairs = np.unique(np.stack([refs[two], refs[two + 1]], axis=1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
-    more = sorted({pack(refs[s : s + m]) for s, m in zip(start[length > 2], length[length > 2])})
-    none = pa.nulls(len(more), pa.int64())
-    return pa.table({"a": pa.concat_arrays([pa.array(pairs[:, 0]), none]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), none]), "block": pa.array([None] * len(pairs) + more, pa.binary())})
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        refs = [unpack(b, np.int64) for b in batch.column(1).to_pylist()]
-        sizes = [len(r) for r in refs]
-        if refs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.concatenate(refs))], names=["block", "line"])
+    first, many = np.repeat(start, length), np.repeat(length > PAIRWISE, length)
+    long = np.flatnonzero(many & (first != np.arange(len(keys))))
+    at = np.flatnonzero(~many & np.repeat(length > 1, length))
+    own, bits, line = keys[at], sketch[at], refs[at]
+    x, y = [at[:0]], [at[:0]]
+    for d in range(1, PAIRWISE):
+        same = np.flatnonzero(own[d:] == own[:-d]) if len(own) > d else at[:0]
+        if not len(same):
+            break
+        same = same[np.bitwise_count(bits[same] ^ bits[same + d]) <= SKETCH_BITS - SKETCH_SAME]
+        x.append(same)
+        y.append(same + d)
+    x, y = np.concatenate(x), np.concatenate(y)
+    least = np.arange(len(at))
+    np.minimum.at(least, y, x)
+    needed = (least[y] == x) | (least[x] != least[y])
+    pairs = np.stack([np.concatenate([refs[first[long]], line[x[needed]]]), np.concatenate([refs[long], line[y[needed]]])], axis=1)
+    pairs = np.unique(pairs, axis=0)
+    heads = np.unique(pairs[:, 0])
+    return pa.table({"head": pa.array(np.concatenate([heads, pairs[:, 0]])), "line": pa.array(np.concatenate([heads, pairs[:, 1]]))})
+
+
+def _firsts(groups: np.ndarray) -> np.ndarray:
+    """Places of the first element of each run."""
+    return np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
 
 
 def _verify(similarity: float):
-    """Edges between the lines of a block whose shingle sets are similar enough."""
+    """Edges that join, within each block, all lines that are joined by pairs whose shingle sets are similar enough.
+
+    A breadth-first search over all blocks of a slot at once: in each round every block takes one
+    line of its queue (or a new one) and compares it with all its lines that aren't reached yet.
+    """
 
     def verify(table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(table, [("block", "ascending"), ("line", "ascending")])
-        table = table.take(order)
-        block, refs = table.column("block").to_numpy(), table.column("line").to_numpy()
+        table = table.take(pc.sort_indices(table, [("head", "ascending"), ("line", "ascending")]))
+        heads, refs = table.column("head").to_numpy(), table.column("line").to_numpy()
+        block = np.zeros(len(heads), dtype=np.int64)
+        block[1:] = np.cumsum(heads[1:] != heads[:-1])
         data, offsets = buffers(table.column("text"))
-        sets: list[np.ndarray] = []
-        for i, j in slices(offsets):
+        bits = np.uint64(64 - max(1, int(block[-1] + 1 if len(block) else 1).bit_length()))
+        keys, sizes = [], [np.zeros(0, np.int64)]
+        for i, j in slices(offsets, 1 << 19):
             # The lower-cased line without its end: exactly what the hashes were taken of.
-            p = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NEWLINE)
+            p = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NEWLINE, with_hash=False)
             _, shingles, line = _shingles(p)
-            ordered = np.lexsort((shingles, line))
-            shingles, line = shingles[ordered], line[ordered]
-            fresh = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (line[1:] != line[:-1])]) if len(line) else np.zeros(0, bool)
-            shingles, line = shingles[fresh], line[fresh]
-            sets.extend(np.split(shingles, np.searchsorted(line, np.arange(1, j - i))))
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block)) if len(block) else np.zeros(1, np.int64)
-        a, b, edges = [], [], [np.zeros((0, 2), np.int64)]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi - lo <= PAIRWISE:
-                x, y = np.triu_indices(hi - lo, 1)
-                a.append(lo + x)
-                b.append(lo + y)
-                continue
-            flat, owner = np.concatenate(sets[lo:hi]), np.repeat(np.arange(hi - lo), sizes[lo:hi])
-            left, queue = np.ones(hi - lo, dtype=bool), []
-            while left.any():
-                node = queue.pop() if queue else int(np.argmax(left))
-                left[node] = False
-                alive = left[owner]
-                flat, owner = flat[alive], owner[alive]
-                own = sets[lo + node]
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.bincount(owner[own[at] == flat], minlength=hi - lo)
-                near = np.flatnonzero(left & (both >= similarity * (sizes[lo:hi] + sizes[lo + node] - both) - 1e-9))
-                left[near] = False
-                alive = left[owner]
-                flat, owner = flat[alive], owner[alive]
-                queue.extend(near.tolist())
-                edges.append(np.stack([np.full(len(near), refs[lo + node]), refs[lo + near]], axis=1))
-        a = np.concatenate([np.zeros(0, np.int64), *a])
-        b = np.concatenate([np.zeros(0, np.int64), *b])
-        for i in range(0, len(a), 4096):
-            x, y = a[i : i + 4096], b[i : i + 4096]
-            flat = np.concatenate([sets[k] for pair in zip(x, y) for k in pair])
-            pair = np.repeat(np.arange(len(x)), sizes[x] + sizes[y]).astype(np.uint64)
-            key = np.sort((pair << np.uint64(52)) | (flat >> np.uint64(12)))
-            both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(x))
-            near = both >= similarity * (sizes[x] + sizes[y] - both) - 1e-9
-            edges.append(np.stack([refs[x[near]], refs[y[near]]], axis=1))
-        out = np.unique(np.concatenate(edges), axis=0)
-        return pa.table({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
+            # A line's number and the upper 44 bits of a shingle in one integer: sorted, they are the lines' sets.
+            own = np.sort((line.astype(np.uint64) << np.uint64(44)) | (shingles >> np.uint64(20)))
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+            line = (own >> np.uint64(44)).astype(np.int64)
+            own = (own & np.uint64((1 << 44) - 1)) >> np.uint64(max(0, 44 - int(bits)))
+            keys.append((block[i + line].astype(np.uint64) << bits) | own)
+            sizes.append(np.bincount(line, minlength=j - i))
+        key, sizes = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate(sizes)
+        row = np.repeat(np.arange(len(refs), dtype=np.int32), sizes)
+        all_keys, begin = key, np.cumsum(sizes) - sizes
+        left, queue = np.ones(len(refs), dtype=bool), np.zeros(0, dtype=np.int64)
+        node_of = np.full(int(block[-1]) + 1 if len(block) else 0, -1)
+        a, b = [refs[:0]], [refs[:0]]
+        while left.any():
+            at = np.flatnonzero(left)
+            first = at[_firsts(block[at])]
+            node_of[:] = -1
+            node_of[block[first]] = first
+            queue = queue[node_of[block[queue]] >= 0]
+            first = queue[_firsts(block[queue])]
+            node_of[block[first]] = first
+            queue = queue[node_of[block[queue]] != queue]
+            nodes = node_of[node_of >= 0]
+            left[nodes] = False
+            n = sizes[nodes]
+            chosen = all_keys[np.repeat(begin[nodes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]  # in order, as the blocks are
+            alive = left[row]
+            key, row = key[alive], row[alive]
+            hit = chosen[np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)] == key
+            both = np.bincount(row[hit], minlength=len(refs))
+            node = node_of[block]
+            near = np.flatnonzero(left & (both >= similarity * (sizes + sizes[node] - both) - 1e-9))
+            left[near] = False
+            queue = np.sort(np.concatenate([queue, near]))
+            a.append(refs[node[near]])
+            b.append(refs[near])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return verify
 
@@ -203,13 +229,11 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = n_slots(spark, size / 200 * BANDS)
-    found = docs.select("text").mapInArrow(_bands(slots), "slot long, keys binary, refs binary").groupBy("slot").applyInArrow(_blocks, "a long, b long, block binary")
-    found = stored(found, "bands")
-    pairs = found.filter("block is null").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("line"))
-    more = found.filter("block is not null").select("block").distinct().select(F.xxhash64("block").alias("block"), F.col("block").alias("refs")).mapInArrow(_members, "block long, line long")
-    members = stored(pairs.unionAll(more), "members")
+    found = docs.select("text").mapInArrow(_bands(slots), "slot long, keys binary, refs binary, sketches binary").groupBy("slot").applyInArrow(_blocks, "head long, line long")
+    members = stored(found.distinct(), "members")
     texts = _texts(docs, members.select("line").distinct()).groupBy("line").agg(F.first("text").alias("text"))
-    verify = members.join(texts, "line").withColumn("slot", F.pmod("block", F.lit(slots))).groupBy("slot").applyInArrow(_verify(similarity), "a long, b long")
+    groups = n_slots(spark, 2 * size, GROUP_BYTES)
+    verify = members.join(texts, "line").withColumn("slot", F.pmod(F.xxhash64("head"), F.lit(groups))).groupBy("slot").applyInArrow(_verify(similarity), "a long, b long")
     return components(verify)
 
 
@@ -243,8 +267,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
 
     Lines are the pieces between line feeds, lower-cased for comparison. Two lines are similar if
     the Jaccard similarity of their sets of 5-character shingles is at least 0.8. Candidates share
-    one of nine bands of four values of a one-permutation MinHash (recall 0.99 at the threshold),
-    every candidate is verified on its exact shingles, and of each connected component of similar
+    one of fifteen bands of six values of a one-permutation MinHash (recall 0.99 at the threshold) and
+    agree in a sketch of 48 bits, every candidate is verified on its exact shingles, and of each connected component of similar
     lines the first by (doc_id, line_no) stays, all over the corpus.
 
     Lines of fewer than 20 characters stay. Null texts stay null and empty ones empty; a text all
@@ -253,7 +277,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     columns are kept; an own column named lines_removed is replaced.
     """
     columns = [c for c in docs.columns if c != "lines_removed"]
-    gone = repeated_lines(docs, similarity, text, doc_id).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+    gone = repeated_lines(docs, similarity, text, doc_id).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias(fresh("_gone", columns)))
+    key = fresh("_gone_id", columns)
     kinds = docs.select(columns).schema
     at = columns.index(text)
 
@@ -273,6 +298,6 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
                 removed = pc.fill_null(pc.list_value_length(gone.slice(lo, 500)), 0).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([*columns_, removed], names=[*batch.schema.names[:-1], "lines_removed"])
 
-    gone = gone.withColumnRenamed("doc_id", "_gone_id").hint("shuffle_hash")
-    joined = docs.select(columns).join(gone, F.col(doc_id).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    gone = gone.withColumnRenamed("doc_id", key).hint("shuffle_hash")
+    joined = docs.select(columns).join(gone, F.col(doc_id).cast("long") == F.col(key), "left").drop(key)
     return joined.mapInArrow(cut, kinds.add("lines_removed", T.IntegerType()))
