@@ -73,6 +73,12 @@ def test_hybrid_fuzzy_and_vector(demo):
     assert scores(rank.vector(demo, [1, 0])) == scores(rank.vector(demo, [0, 0, 0])) == {}
 
 
+def test_without_declared_fields_all_strings_count(spark):
+    index = collection(spark, [{"a": "quick fox", "n": 5, "deep": [{"b": "brown \"dog\""}, "end"]}, {"quick": "slow"}], {})
+    assert scores(rank.rank(index, "quick dog end", 10)).keys() == {1} and scores(rank.rank(index, "slow", 10)).keys() == {2}
+    assert scores(rank.rank(index, "deep", 10)) == {}
+
+
 def test_stored_index_scores_alike(spark, demo, tmp_path):
     demo.save(str(tmp_path))
     opened = demo.opened(str(tmp_path))

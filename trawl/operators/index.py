@@ -32,7 +32,9 @@ class SearchIndex:
     stored_lengths: DataFrame | None = None
 
     def bag(self) -> Column:
-        """All searchable text and array elements of a document as one text."""
+        """All searchable text and array elements of a document as one text; without declared fields, all strings of its JSON."""
+        if not self.schema.fields and "raw" in self.docs.columns:
+            return text_leaves(F.col("raw"))
         names = self.schema.names("text", "array", searchable=True)
         return F.concat_ws(" ", *(F.col(n) for n in names)) if names else F.lit("")
 
@@ -51,8 +53,7 @@ class SearchIndex:
 
     def corpus(self) -> DataFrame:
         """One row: n_docs, n_tokens, avgdl (1.0 if no document has a token, as scores divide by it)."""
-        total = self.lengths().agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_tokens"))
-        return total.withColumn("avgdl", F.when(F.col("n_tokens") > 0, F.col("n_tokens") / F.col("n_docs")).otherwise(F.lit(1.0)))
+        return _averaged(self.lengths().agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_tokens")))
 
     def document_frequencies(self) -> DataFrame:
         """(term, df)."""
@@ -70,20 +71,21 @@ class SearchIndex:
         return SearchIndex(self.docs.join(gone, self.id_col, "left_anti"), self.schema, self.id_col, *parts)
 
     def wide(self, terms: Iterable[str]) -> DataFrame:
-        """(doc_id, doc_len, tf0, tf1, ...): how often each term occurs, for documents with any of them."""
+        """(doc_id, doc_len, tf0, tf1, ...): how often each term occurs; a stored index leaves out documents without any."""
         terms = list(terms)
         if self.stored_postings is not None:
             own = self.stored_postings.filter(F.col("term").isin(terms)).groupBy("doc_id")
             counted = own.agg(*(F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)))
             return counted.join(self.lengths(), "doc_id")
         counted = self.docs.select(F.col(self.id_col).alias("doc_id"), self.bag().alias("_bag"))
-        counted = counted.select("doc_id", token_count(F.col("_bag")).cast("long").alias("doc_len"), *(term_frequency(F.col("_bag"), t).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)))
-        return counted
+        return counted.select("doc_id", token_count(F.col("_bag")).cast("long").alias("doc_len"), *(term_frequency(F.col("_bag"), t).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)))
 
     def wide_statistics(self, wide: DataFrame, terms: Iterable[str]) -> DataFrame:
-        """One row: n_docs, avgdl, and df0, df1, ... of the terms."""
-        frequencies = wide.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i, _ in enumerate(terms)))
-        return self.corpus().select("n_docs", "avgdl").crossJoin(frequencies)
+        """One row: n_docs, avgdl, and df0, df1, ... of the terms; where `wide` counts in the documents, one pass gives all."""
+        frequencies = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i, _ in enumerate(terms)]
+        if self.stored_postings is not None:
+            return self.corpus().select("n_docs", "avgdl").crossJoin(wide.agg(*frequencies))
+        return _averaged(wide.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_tokens"), *frequencies)).drop("n_tokens")
 
     def query_values(self) -> DataFrame:
         """(query, doc_id, hint): stored query hints of searchable query_values fields; empty queries don't count."""
@@ -114,6 +116,10 @@ class SearchIndex:
         return SearchIndex(self.docs, self.schema, self.id_col, read.parquet(f"{path}/postings"), read.parquet(f"{path}/lengths"))
 
 
+def _averaged(total: DataFrame) -> DataFrame:
+    return total.withColumn("avgdl", F.when(F.col("n_tokens") > 0, F.col("n_tokens") / F.col("n_docs")).otherwise(F.lit(1.0)))
+
+
 def text_leaves(raw: Column) -> Column:
     """All string values of a JSON text at any depth, as one text: what an index without declared fields is searched by."""
     return F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(r'(?:[:\[,]\s*)"((?:[^"\\]|\\.)*)"(?!\s*:)'), 1), lambda x: F.regexp_replace(x, r"\\.", " ")), " ")
