@@ -23,6 +23,8 @@ DEVIATIONS = 12.0
 #: Deviations are never taken as less than this many bits a character.
 LEAST_DEVIATION = 0.05
 LENGTH_CLASSES = (0, 100, 1000)
+#: Text whose grams are held at a time (or one longer text's): some hundred bytes of arrays a character.
+GRAM_BYTES = 1 << 18
 
 _SYMBOLS = np.zeros(1 << 16, dtype=bool)
 _SYMBOLS[:128] = [not chr(c).isalpha() for c in range(128)]
@@ -40,7 +42,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     """
     marks = chr(_START) * (ORDER - 1)
     data, offsets = buffers(pc.binary_join_element_wise(pa.scalar(marks, pa.large_string()), pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), ""), pa.scalar("", pa.large_string())))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, GRAM_BYTES):
         part = data[offsets[i] : offsets[j]]
         first = np.cumsum(np.concatenate([[0], (part & 0xC0) != 0x80]))[offsets[i : j + 1] - offsets[i]]
         codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
@@ -83,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
                 parts = held.setdefault(name, [])
                 parts.append((own[new], np.diff(np.append(new, len(own))).astype(np.int64)))
-                if len(parts) > 32:
+                if len(parts) > 16:
                     parts[:] = [merged(parts)]
     for name, parts in held.items():
         keys, counts = merged(parts)
