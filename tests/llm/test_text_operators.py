@@ -100,6 +100,25 @@ def test_language_edges(spark):
     assert not any(r["accepted"] for r in language.languages(df.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
+def test_language_models_keep_rare_grams_of_large_corpora(spark):
+    common = spark.range(58, numPartitions=4).select(F.repeat(F.lit("abcdefgh "), 400_000).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([("qzjx", "en")], "text string, lang string")
+    model = language.fit(common.unionAll(rare))  # over 2e8 characters, of which one is in this gram
+    _, _, grams, _ = next(iter(language._grams(pa.array(["qzjx"]))))
+    assert np.isin(language.mix(grams), model.tables[language.ORDER][0]).all()
+
+
+def test_language_in_slots_gives_what_the_broadcast_gives(spark, docs):
+    odd_docs, _ = odd(spark)
+    some = docs.select("doc_id", "text", "lang").unionAll(odd_docs.select("doc_id", "text", "lang"))
+    by = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_hash"] or 0)
+    a, b = (sorted(language.languages(some, broadcast_bytes=size).collect(), key=by) for size in (language.BROADCAST_BYTES, -1))
+    assert len(a) == len(b) == some.count()
+    for x, y in zip(a, b):
+        assert [x[k] for k in ("doc_id", "predicted", "n_chars", "accepted", "text_hash")] == [y[k] for k in ("doc_id", "predicted", "n_chars", "accepted", "text_hash")]
+        assert [x["bits"], x["margin"]] == pytest.approx([y["bits"], y["margin"]], abs=2e-6)
+
+
 # Repetition
 
 

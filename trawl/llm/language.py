@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.arrowtext import buffers, mix, slices
-from trawl.llm.exchange import stored
+from trawl.llm.exchange import by_slot, gathered, n_slots, slot_of, stored
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Grams rarer than this share of a language's characters are left out of its model, so a model's
-#: size has a bound (one over the share) however large the corpus grows.
-RAREST = 1e-8
+#: Models that take at most this many bytes are shipped to every task; grams meet larger ones in slots.
+BROADCAST_BYTES = 64 << 20
 #: A document is rejected beyond this many deviations (of its length class) above its language's median.
 DEVIATIONS = 12.0
 #: Deviations are never taken as less than this many bits a character.
@@ -115,19 +114,25 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
 class Model:
     """Per order: hashes of all grams in ascending order, and log2 probabilities and back-off weights by language."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT):
-        self.languages = sorted(counts)
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT, pairs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """Of a part of the grams that holds all with the same middle, given the continuation counts of all pairs of characters."""
+        self.languages = sorted(counts if pairs is None else pairs)
         self.tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))] * (ORDER + 1)
         self.backoffs = list(self.tables)
         orders: dict[str, list[_Counts | None]] = {}
         alphabet = 1
         for name in self.languages:
-            keys, n = counts[name]
+            keys, n = counts.get(name, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             order = np.argsort(keys)
             own: list[_Counts | None] = [None] * (ORDER + 1)
             own[ORDER] = _Counts(keys[order], n[order].astype(np.float64))
             for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many types of the next order a gram ends
-                types, n_types = np.unique(own[k + 1].keys & np.uint64((1 << (16 * k)) - 1), return_counts=True)
+                if k == 2 and pairs is not None:
+                    types, n_types = pairs[name]
+                    order = np.argsort(types)
+                    types, n_types = types[order], n_types[order]
+                else:
+                    types, n_types = np.unique(own[k + 1].keys & np.uint64((1 << (16 * k)) - 1), return_counts=True)
                 own[k] = _Counts(types, n_types.astype(np.float64))
             orders[name] = own
             alphabet = max(alphabet, len(own[1].keys))
@@ -163,6 +168,8 @@ class Model:
             return np.full((len(grams), len(self.languages)), self.floor, dtype=np.float32)
         keys, logs = self.tables[k]
         hashes = mix(grams)
+        if not len(keys):
+            return self.scores(grams & np.uint64((1 << (16 * (k - 1))) - 1), k - 1)
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         missing = np.flatnonzero(keys[at] != hashes)
         out = logs[at]
@@ -176,63 +183,165 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rarest: float = RAREST) -> Model | None:
-    """Counts the character grams of all labelled documents; None if there are none."""
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n): how often each gram of characters occurs in the labelled documents of a language."""
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and lang <> '' and text <> ''")
-    grams = stored(known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    least = grams.groupBy("lang").agg(F.greatest(F.lit(1.0), F.sum("n") * rarest).alias("least"))
-    table = grams.join(F.broadcast(least), "lang").filter("n >= least").select("lang", "gram", "n").toArrow()
-    names = table.column("lang").to_numpy()
-    grams_, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    counts = {name: (grams_[names == name], n[names == name]) for name in set(names.tolist())}
-    return Model(counts) if counts else None
+    return stored(known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, predicted, bits, margin, n_chars, accepted, text_hash) for every document.
+def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    codes = table.column("lang").combine_chunks().dictionary_encode()
+    label, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+    grams, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    return {name: (grams[label == k], n[label == k]) for k, name in enumerate(names)}
 
-    One model per value of the label column, counted over all labelled documents: interpolated
-    Kneser-Ney over 4 characters, kept as sorted arrays of gram hashes. `predicted` has the lowest
-    cross-entropy in bits a character, `bits`; `margin` is how much more the next language takes.
-    A text is rejected if its bits exceed the median of its language and length class by more than
-    DEVIATIONS times the median absolute deviation: the bounds are calibrated over all documents
-    predicted for the class, so ordinary texts of any length stay and only noise goes.
 
-    A null or empty text, or one without letters, has no prediction and is rejected. If no document
-    has a label, nothing can be predicted and everything is rejected. Equal cross-entropies go to
-    the first language by name. Every row is judged by itself, also if its doc_id is null or
-    repeated, and equal texts are judged alike, so `text_hash` (Spark's xxhash64) finds the rows a
-    judgement is about. Extra columns are ignored.
+def _model(grams: DataFrame) -> Model | None:
+    counts = _by_language(grams.select("lang", "gram", "n").toArrow())
+    return Model(counts) if counts else None
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rarest: float = 0.0) -> Model | None:
+    """Counts the character grams of all labelled documents; None if there are none.
+
+    Every counted gram is kept unless `rarest` is given: then those rarer than this share of their language's go.
     """
-    spark = docs.sparkSession
-    model = fit(docs, text, lang)
-    shared = spark.sparkContext.broadcast(model)
+    grams = counted(docs, text, lang)
+    if rarest > 0:
+        least = grams.groupBy("lang").agg((F.sum("n") * rarest).alias("least"))
+        grams = grams.join(F.broadcast(least), "lang").filter("n >= least")
+    return _model(grams)
+
+
+def _middle(grams: np.ndarray) -> np.ndarray:
+    """The two characters in the middle: all that orders 4 and 3 know about a gram is in the grams with the same."""
+    return (grams >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+
+
+def _judged(bits: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of bits by language: the best language, its bits, and how many more the next takes."""
+    ranked = np.sort(bits, axis=1)
+    return names[np.argmin(bits, axis=1)], ranked[:, 0], ranked[:, 1] - ranked[:, 0] if len(names) > 1 else np.zeros(len(bits))
+
+
+def _has_letters(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    letters = np.concatenate([[0], np.cumsum(grams & np.uint64(0xFFFF) != _SPACE)])
+    return letters[ends] - letters[ends - sizes] > 0
+
+
+_ROW = "doc_id long, predicted string, bits double, margin double, n_chars long, text_hash long"
+
+
+def _scored_by_broadcast(rows: DataFrame, model: Model | None) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array(model.languages if model else [""], dtype=object)
         for batch in batches:
             for i, j, grams, sizes in _grams(batch.column(1)):
-                letters = grams & np.uint64(0xFFFF) != _SPACE
                 ends = np.cumsum(sizes)
-                ok = np.concatenate([[0], np.cumsum(letters)])
-                ok = (ok[ends] - ok[ends - sizes] > 0) & (model is not None)
+                ok = _has_letters(grams, sizes) & (model is not None)
                 bits = np.full((j - i, len(names)), np.inf)
                 if model is not None and len(grams):
                     logs = model.scores(grams)
                     for k in range(len(names)):
                         total = np.concatenate([[0], np.cumsum(logs[:, k], dtype=np.float64)])
                         bits[:, k] = -(total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
-                best = np.argmin(bits, axis=1)
-                ranked = np.sort(bits, axis=1)
-                margin = ranked[:, 1] - ranked[:, 0] if len(names) > 1 else np.zeros(j - i)
+                best, least, margin = _judged(bits, names)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(names[best], pa.string(), mask=~ok), pa.array(ranked[:, 0], mask=~ok), pa.array(margin, mask=~ok), pa.array(sizes.astype(np.int64)), batch.column(2).slice(i, j - i)],
+                    [batch.column(0).slice(i, j - i), pa.array(best, pa.string(), mask=~ok), pa.array(least, mask=~ok), pa.array(margin, mask=~ok), pa.array(sizes.astype(np.int64)), batch.column(2).slice(i, j - i)],
                     names=["doc_id", "predicted", "bits", "margin", "n_chars", "text_hash"],
                 )
 
+    return rows.mapInArrow(score, _ROW)
+
+
+def _scored_by_slot(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from a model in parts: the texts' grams are sent to the slot of their middle, which holds the part they need.
+
+    Only pairs of characters are shipped to all tasks. A text's bits are the mean over its grams,
+    so rows with the same text can be summed together.
+    """
+    spark = rows.sparkSession
+    length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = n_slots(spark, length + counts.count())
+    tails = counts.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 48) - 1)).alias("gram")).distinct()
+    pairs = spark.sparkContext.broadcast(_by_language(tails.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count("*").alias("n")).toArrow()))
+    names = sorted(pairs.value)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_numpy().view(np.uint64)
+            slot = slot_of(_middle(grams), slots)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns], names=["slot", "lang", "gram", "n"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(2).to_numpy()
+            for i, j, grams, sizes in _grams(batch.column(1)):
+                if len(grams):
+                    order = np.argsort(grams, kind="stable")
+                    yield by_slot(slot_of(_middle(grams), slots)[order], slots, [grams[order], np.repeat(hashes[i:j], sizes)[order]], ["grams", "refs"])
+
+    def score(counts: pa.Table, texts: pa.Table) -> pa.Table:
+        grams, refs = gathered(texts, "grams", np.uint64), gathered(texts, "refs", np.int64)
+        refs, at = np.unique(refs, return_inverse=True)
+        columns = [np.zeros(len(refs)) for _ in names]
+        if len(grams):
+            model = Model(_by_language(counts), pairs=pairs.value)
+            for lo in range(0, len(grams), GRAM_BYTES):
+                logs = model.scores(grams[lo : lo + GRAM_BYTES])
+                for k in range(len(names)):
+                    columns[k] += np.bincount(at[lo : lo + GRAM_BYTES], weights=logs[:, k], minlength=len(refs))
+        return pa.table({"text_hash": pa.array(refs), "n": pa.array(np.bincount(at, minlength=len(refs)).astype(np.int64)), **{f"l{k}": pa.array(c) for k, c in enumerate(columns)}})
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, grams, n in _grams(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(_has_letters(grams, n))], names=["doc_id", "text_hash", "n_chars", "ok"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = batch.column(3).to_numpy(zero_copy_only=False)
+            bits = np.stack([-batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(names))], axis=1)
+            best, least, margin = _judged(np.where(ok[:, None], bits, np.inf), np.array(names, dtype=object))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string(), mask=~ok), pa.array(least, mask=~ok), pa.array(margin, mask=~ok), batch.column(2), batch.column(1)], names=["doc_id", "predicted", "bits", "margin", "n_chars", "text_hash"])
+
+    model = counts.mapInArrow(part, "slot long, lang string, gram long, n long").groupBy("slot")
+    texts = rows.mapInArrow(send, "slot long, grams binary, refs binary").groupBy("slot")
+    sums = model.cogroup(texts).applyInArrow(score, "text_hash long, n long, " + ", ".join(f"l{k} double" for k in range(len(names))))
+    means = stored(sums.groupBy("text_hash").agg(*((F.sum(f"l{k}") / F.sum("n")).alias(f"l{k}") for k in range(len(names)))), "means")
+    judged = rows.mapInArrow(sizes, "doc_id long, text_hash long, n_chars long, ok boolean").join(means, "text_hash", "left")
+    return judged.select("doc_id", "text_hash", "n_chars", "ok", *(f"l{k}" for k in range(len(names)))).mapInArrow(judge, _ROW)
+
+
+def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, predicted, bits, margin, n_chars, accepted, text_hash) for every document.
+
+    One model per value of the label column, counted over all labelled documents: interpolated
+    Kneser-Ney over 4 characters, kept as sorted arrays of gram hashes. `predicted` has the lowest
+    cross-entropy in bits a character, `bits`; `margin` is how much more the next language takes.
+    A text is rejected if its bits exceed the median of its language and length class by more than
+    DEVIATIONS times the median absolute deviation: the bounds are calibrated over all documents
+    predicted for the class, so ordinary texts of any length stay and only noise goes.
+
+    A null or empty text, or one without letters, has no prediction and is rejected. If no document
+    has a label, nothing can be predicted and everything is rejected. Equal cross-entropies go to
+    the first language by name. Every row is judged by itself, also if its doc_id is null or
+    repeated, and equal texts are judged alike, so `text_hash` (Spark's xxhash64) finds the rows a
+    judgement is about. Extra columns are ignored.
+
+    Every counted gram is in the model, at every size. Models of at most 64 MB go to all tasks;
+    beyond that the texts' grams meet their part of the model in slots, with the same result.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
-    scored = stored(rows.mapInArrow(score, "doc_id long, predicted string, bits double, margin double, n_chars long, text_hash long"), "languages")
+    counts = counted(docs, text, lang)
+    n_languages, n_grams = counts.agg(F.count_distinct("lang"), F.count_distinct("gram")).first()
+    # The highest order has most of a model's grams: a hash and a logarithm a language each.
+    small = n_grams * (8 + 4 * n_languages) <= broadcast_bytes or not n_grams
+    scored = stored(_scored_by_broadcast(rows, _model(counts)) if small else _scored_by_slot(rows, counts), "languages")
     scored = scored.withColumn("_class", sum((F.col("n_chars") >= x).cast("int") for x in LENGTH_CLASSES))
     group = ["predicted", "_class"]
     middle = scored.filter("predicted is not null").groupBy(*group).agg(F.percentile_approx("bits", 0.5, 10000).alias("_mid"))
