@@ -258,6 +258,21 @@ def test_simhash_against_brute_force(spark, docs):
     assert all(root[d] == root[g] for d, g in out.items())  # no group joins what brute force keeps apart
 
 
+@pytest.mark.parametrize("apart", [20, 30, 36, 40])
+def test_simhash_recall_by_distance(spark, apart):
+    rng = np.random.default_rng(apart)
+    bits = rng.integers(0, 2, (1500, simhash.BITS), dtype=np.uint8)
+    near = bits.copy()
+    for row in near:
+        row[rng.choice(simhash.BITS, apart, replace=False)] ^= 1
+    sig = np.packbits(np.stack([bits, near], axis=1).reshape(-1, simhash.BITS), axis=1).copy().view(">u8").astype(np.uint64).view(np.int64)
+    df = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(sig)], "doc_id long, s0 long, s1 long, s2 long, s3 long")
+    found = {(r["a"], r["b"]) for r in simhash.near_edges(df).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+    assert len(found) >= 0.9 * 1500, len(found) / 1500
+    print(f"recall at {apart} bits: {len(found) / 1500:.3f}")
+
+
 def test_simhash_near_copies(spark, docs):
     rng = np.random.default_rng(5)
     base = [r["text"] for r in docs.filter("n_chars between 1500 and 4000").orderBy("doc_id").limit(30).collect()]

@@ -14,6 +14,8 @@ from trawl.llm.components import components
 from trawl.llm.exchange import by_slot, gathered, n_slots, pack, slot_of, stored, unpack
 
 BITS, SEGMENTS, SEGMENT_BITS = 256, 10, 24
+#: Orders of the bits in which signatures are cut. One finds 0.62 of the pairs 40 bits apart, three find 0.94.
+ORDERS = 3
 #: Documents at most this many of the 256 bits apart are near duplicates.
 DISTANCE = 40
 #: Words are hashed with a sign into this many dimensions before the projection.
@@ -26,6 +28,8 @@ CHECK_BITS, CHECK_DISTANCE = 48, 16
 #: Longer runs of one variant are joined as blocks, in one pass, instead of pair by pair.
 PAIRWISE = 24
 
+_shuffled = np.random.default_rng(11)
+_orders = [np.arange(BITS), *(_shuffled.permutation(BITS) for _ in range(ORDERS - 1))]
 _signs = (np.random.default_rng(7).integers(0, 2, (DIMENSIONS, BITS)) * 2 - 1).astype(np.float32)
 
 
@@ -45,6 +49,11 @@ def signatures(data_pieces, rows: int) -> np.ndarray:
     return out
 
 
+def _reordered(sig: np.ndarray, order: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(sig.astype(">u8").view(np.uint8).reshape(len(sig), -1), axis=1)[:, order]
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
+
+
 def _variants(sig: np.ndarray) -> np.ndarray:
     """(n, segments * bits) keys: segment, deleted bit, and the segment's other bits."""
     bits = np.unpackbits(sig.astype(">u8").view(np.uint8).reshape(len(sig), -1), axis=1)[:, : SEGMENTS * SEGMENT_BITS]
@@ -71,12 +80,13 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return known.mapInArrow(sign, "doc_id long, s0 long, s1 long, s2 long, s3 long")
 
 
-def _index(slots: int):
+def _index(slots: int, bit_order: np.ndarray):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 4000):
                 batch = whole.slice(i, 4000)
                 sig = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(1, 5)], axis=1)
+                sig = _reordered(sig, bit_order)
                 keys = _variants(sig)
                 n, m = keys.shape
                 keys, refs = keys.ravel(), np.repeat(batch.column(0).to_numpy(), m)
@@ -154,15 +164,18 @@ def _link(most: int):
 
 
 def near_edges(sigs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) pairs of doc_ids that join all signatures within the distance that share a variant.
+    """(a, b) pairs of doc_ids that join all signatures within the distance that share a variant in one of the orders of bits.
 
     Pairs are exact: each is verified on all 256 bits. Long runs give a spanning forest of their
     pairs instead of every pair, which leaves the groups the same.
     """
     spark = sigs.sparkSession
     slots = n_slots(spark, sigs.count() * SEGMENTS * SEGMENT_BITS)
-    found = sigs.mapInArrow(_index(slots), "slot long, keys binary, refs binary, checks binary").groupBy("slot").applyInArrow(_candidates, "a long, b long, block binary")
-    found = stored(found, "candidates")
+    found = None
+    for order in _orders:  # one after another, so that the disk holds the variants of one
+        own = sigs.mapInArrow(_index(slots, order), "slot long, keys binary, refs binary, checks binary").groupBy("slot").applyInArrow(_candidates, "a long, b long, block binary")
+        own = stored(own, "candidates")
+        found = own if found is None else found.unionAll(own)
     pairs = found.filter("block is null").select("a", "b").distinct()
     side = lambda x: sigs.select(F.col("doc_id").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(4)))
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
@@ -177,10 +190,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     """(doc_id, group_id, keep): groups of near-duplicate documents; the least doc_id of each stays.
 
     A 256-bit SimHash of the lower-cased words (tf-weighted; words under four bytes at a
-    twentieth) is cut into ten segments of 24 bits. Signatures at distance d have a segment that
-    differs by at most one bit whenever d <= 19, and with high probability up to the distance of
-    40, where unrelated texts start at about 100. Each signature is indexed under the 240 variants
-    that delete one bit of one segment; equal variants meet, a 48-bit check thins chance
+    twentieth) is cut into ten segments of 24 bits, in three orders of its bits. Signatures at
+    distance d have a segment that differs by at most one bit whenever d <= 19; for flips at random
+    places the probability is 0.99 at 36 bits and 0.94 at the distance of 40, where unrelated texts start at about 100. Each signature is indexed under the 240 variants
+    of each order that delete one bit of one segment; equal variants meet, a 48-bit check thins chance
     encounters, and all 256 bits decide. Equal signatures are collapsed beforehand, and groups are
     connected components of the verified pairs, so a group of any size costs work in proportion.
 
