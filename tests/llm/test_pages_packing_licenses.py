@@ -261,6 +261,21 @@ def test_licences_in_the_documents(spark, sf_dir):
     assert n > 20
 
 
+def test_notices_are_found_at_every_size(spark):
+    common = ["This repository holds tools of Foobar and the like.", "Another repository, of Foobar too."]
+    notice = "This Foobar repository is licensed under the Apache License, Version 2.0."
+    df = spark.range(6000).select("id", F.concat_ws("", F.lit("x/"), "id").alias("path"), F.when(F.col("id") == 0, notice).when(F.col("id") % 2 == 0, common[0]).otherwise(common[1]).alias("text")).withColumnRenamed("id", "doc_id")
+    for size in (licenses.BROADCAST_BYTES, -1):
+        out = licenses.licenses(df, broadcast_bytes=size).filter("doc_id = 0").first()
+        n, dfs = 6000, Counter({"repository": 6000, "foobar": 6000, "of": 5999, "this": 3000, "holds": 2999, "tools": 2999, "and": 2999, "like": 2999, "the": 3000, "another": 3000, "too": 3000, "is": 1, "licensed": 1, "under": 1, "apache": 1, "license": 1, "version": 1, "2": 1, "0": 1})
+        idf = lambda w: math.log((n + 1) / (dfs[w] + 1)) + 1
+        vector = lambda ws: {w: c * idf(w) for w, c in Counter(ws).items()}
+        x = vector(re.findall(r"[a-z0-9]+", notice.lower()))
+        y = vector(licenses.TEMPLATES["Apache-2.0"][0].split())
+        want = sum(x[w] * y.get(w, 0) for w in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        assert (out["license"], out["origin"]) == ("Apache-2.0", "file") and out["cosine"] == pytest.approx(want, abs=1e-5)
+
+
 def test_licence_edges(spark):
     rows = [(1, None, "MIT License"), (2, "a/LICENSE", None), (3, "a/x", ""), (None, "a/y", "all rights reserved"), (4, "a/y", "x " * 200_000), (5, "", "MIT License"), (3, "a/x", ""), (6, "b//c/", "z")]
     df = files(spark, rows).withColumn("own", F.lit(1)).withColumn("dir", F.lit("q")).withColumn("license", F.lit(None).cast("string"))
