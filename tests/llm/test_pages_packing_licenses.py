@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.llm import html, licenses, packing, urls
+from trawl.llm import html, licenses, packing, queries, urls
 
 # HTML
 
@@ -276,6 +276,35 @@ def test_notices_are_found_at_every_size(spark):
         assert (out["license"], out["origin"]) == ("Apache-2.0", "file") and out["cosine"] == pytest.approx(want, abs=1e-5)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_whole_licence_texts_are_files(spark):
+    out = licenses.licenses(files(spark, [(1, "a/about", MIT), (2, "a/b/x.py", "x = 1"), (3, "c/x.py", "MIT License\n\n" + "x = 1\n" * 20)])).collect()
+    assert {r["doc_id"]: (r["license"], r["origin"]) for r in out} == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("MIT", "header")}
+
+
+def test_documents_inherit_nothing(spark, tmp_path):
+    rows = [(1, "A.\nAll rights reserved.", "en", "web"), (2, "no licence here", "en", "web"), (None, "MIT License", None, "web"), (3, "nor here", None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["license"] for r in queries.op10_licenses(spark, str(tmp_path)).collect()} == {1: "Proprietary", 2: None, None: "MIT", 3: None}
+
+
 def test_licence_edges(spark):
     rows = [(1, None, "MIT License"), (2, "a/LICENSE", None), (3, "a/x", ""), (None, "a/y", "all rights reserved"), (4, "a/y", "x " * 200_000), (5, "", "MIT License"), (3, "a/x", ""), (6, "b//c/", "z")]
     df = files(spark, rows).withColumn("own", F.lit(1)).withColumn("dir", F.lit("q")).withColumn("license", F.lit(None).cast("string"))

@@ -58,9 +58,9 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path of their own: each is a file in the directory of its source and language."""
+    """Documents have no path of their own: each is alone in its directory, so none inherits another's licence."""
     docs = _table(spark, sf_dir, "documents")
-    return licenses(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+    return licenses(docs.withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("/text"))))
 
 
 QUERIES = {
