@@ -39,6 +39,12 @@ def test_join_gives_what_the_broadcast_gives(spark, sf_dir):
     assert sum(r[3] for r in a) >= 10
 
 
+def test_section_templates_of_large_hosts_go(spark):
+    rows = [(i, f"http://big.example/{i}", f"<p>Only on page {i}.</p>" + ("<nav>Home of the section</nav>" if i < 5 else "")) for i in range(1000)]
+    out = {r["page_id"]: r for r in html.page_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(out[i]["text"] == f"Only on page {i}." and out[i]["deleted"] == (i < 5) for i in range(1000))
+
+
 def brute_texts(rows, least=html.LEAST_PAGES, share=html.LEAST_SHARE):
     """Subtrees by their own serialisation instead of hashes, counted in dictionaries."""
     pages = {}

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from trawl.llm.exchange import stored
 from trawl.llm.urls import host
 
-#: A subtree is a template if it is on at least this many different pages of its host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.01
+#: A subtree is a template if it is on at least this many different pages of its host. No share of them is
+#: asked for: on a large host that would keep the templates of its sections.
+LEAST_PAGES, LEAST_SHARE = 3, 0.0
 #: Templates whose keys take at most this many bytes are shipped to every task, others joined by host.
 BROADCAST_BYTES = 64 << 20
 
@@ -214,7 +215,7 @@ def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     """(page_id, host, text, deleted, deleted_chars): each page's text without its site's templates.
 
     Every block-level element's subtree is hashed; a subtree on at least 3 different pages of a
-    host, and on 1 % of them, is a template of that host. The largest template subtrees of a page
+    host, however many it has, is a template of that host. The largest template subtrees of a page
     are deleted with all they hold, and the rest's visible text is returned, one line a block.
     Inline elements (links, emphasis and such) are only deleted as part of a block, so recurring
     words never go from a sentence. Scripts, styles, heads, comments and hidden elements give no text.
