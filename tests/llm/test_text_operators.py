@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trawl.llm import decontaminate, language, lines, repetition, simhash, substrings
+from trawl.llm import decontaminate, language, lines, queries, repetition, simhash, substrings
 
 DOCS = "doc_id long, text string"
 
@@ -160,6 +160,46 @@ def test_repeats_small(spark):
         substrings.repeats(df, 5, 6)
 
 
+def brute_passages(rows, length):
+    """Each stretch's places; runs of stretches whose places move on together, by a loop over every word."""
+    texts = {(d, t) for d, t in rows if d is not None}
+    where = {}
+    for d, t in texts:
+        w = brute.words(t)
+        for i in range(len(w) - length + 1):
+            where.setdefault(tuple(w[i : i + length]), set()).add((d, t, i))
+    places = {p: frozenset(s) for s in where.values() if len({d for d, *_ in s}) > 1 for p in s}
+    out = []
+    for (d, t, i), s in places.items():
+        if places.get((d, t, i - 1)) != frozenset((a, b, k - 1) for a, b, k in s):
+            j = i
+            while places.get((d, t, j + 1)) == frozenset((a, b, k + j + 1 - i) for a, b, k in s):
+                j += 1
+            out.append((d, i, j + length, frozenset((a, k) for a, _, k in s), len({a for a, *_ in s}), min(a for a, *_ in s if a != d)))
+    return out
+
+
+def shown(found):
+    by = {}
+    for r in found:
+        by.setdefault(r["passage_id"], []).append((r["doc_id"], r["start_word"]))
+    return sorted((r["doc_id"], r["start_word"], r["end_word"], sorted(by[r["passage_id"]]), r["n_docs"], r["other_doc"]) for r in found)
+
+
+def test_passages_keep_every_partner(spark, tmp_path):
+    b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "bc")
+    rows = [(1, b + " " + c), (2, "two " + b + " end"), (3, "three " + c), (4, b), (5, "five " + c + " " + c), (5, "else " + b), (5, "else " + b), (6, " ".join(b.split()[5:]))]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op5_substrings(spark, str(tmp_path)).collect()
+    assert shown(found) == sorted((d, i, j, sorted(p), n, o) for d, i, j, p, n, o in brute_passages(rows, substrings.LENGTH))
+    assert {r["doc_id"] for p in found if p["doc_id"] == 1 for r in found if r["passage_id"] == p["passage_id"]} == {1, 2, 3, 4, 5, 6}
+
+
+def test_passages_equal_brute_force(docs, rows):
+    found = substrings.passages(docs).collect()
+    assert found and shown(found) == sorted((d, i, j, sorted(p), n, o) for d, i, j, p, n, o in brute_passages(rows, substrings.LENGTH))
+
+
 def test_repeats_edges(spark):
     df, _ = odd(spark)
     assert substrings.repeats(df).count() == 0

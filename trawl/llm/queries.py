@@ -13,7 +13,7 @@ from trawl.llm.lines import dedup_lines
 from trawl.llm.packing import packed
 from trawl.llm.repetition import repetition
 from trawl.llm.simhash import near_duplicates
-from trawl.llm.substrings import repeats
+from trawl.llm.substrings import passages
 from trawl.llm.urls import listed_keys, oracle, url_filter
 
 
@@ -38,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(_table(spark, sf_dir, "documents"))
+    return passages(_table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
