@@ -6,9 +6,11 @@ import base64
 import json
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import ascii_lower, crc32_hex, from_base64, term_frequency, to_base64, tokenize, tokens
@@ -17,8 +19,8 @@ from trawl.operators.index import SearchIndex
 from trawl.operators.ordering import global_rank
 from trawl.operators.search import search
 from trawl.schema import IndexSchema, schema_id
-from trawl.sources import changelog, snapshots
-from trawl.sources.catalog import Catalog
+from trawl.sources import changelog, files, snapshots
+from trawl.sources.catalog import Catalog, Settings
 from trawl.streaming import ingest
 
 SPEC = {
@@ -301,3 +303,117 @@ def test_base64_and_crc(spark):
     assert [bytes(r[0]) if r[0] is not None else None for r in df.select(from_base64(F.col("c"))).collect()] == [b"hello", b"hello", b"", b"", b"hi", None]
     row = spark.createDataFrame([(bytearray(b"123456789" * 30),)], "b binary").select(to_base64(F.col("b")), crc32_hex(F.col("b"))).first()
     assert row[0] == base64.b64encode(b"123456789" * 30).decode() and row[1] == f"{zlib.crc32(b'123456789' * 30):08x}"
+
+
+@pytest.mark.parametrize("n", [200_000, 1_000_000])
+def test_ids_of_large_batches_of_wide_rows(spark, n):
+    rows = spark.range(0, n, 1, 16).select((F.hash("id").cast("long") * 4_000_000 + F.col("id")).alias("ordinal"), F.repeat(F.md5(F.col("id").cast("string")), 3).alias("raw"))
+    out = documents.with_doc_ids(rows, 5)
+    got = out.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.length("raw")).alias("chars")).first()
+    assert tuple(got) == (n, n, 6, n + 5, 96 * n)
+    assert n > 200_000 or out.select(F.lag("ordinal").over(Window.orderBy("doc_id")).alias("before"), "ordinal").filter("before > ordinal").count() == 0
+
+
+def test_bulk_keeps_every_document(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    cat.create_index("many", {"fields": {"body": "text"}})
+    batch = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("ordinal"), F.to_json(F.struct(F.repeat(F.md5(F.col("id").cast("string")), 16).alias("body"))).alias("raw"))
+    done, bad = cat.bulk("many", batch)
+    assert done.agg(F.count("*"), F.count_distinct("doc_id"), F.max("doc_id")).first()[:] == (60_000, 60_000, 60_000) and bad.count() == 0
+    assert cat.document_count("many") == 60_000
+    plan = cat.shipping_plan()["indexes"]["many"]
+    assert plan["manifest"]["op_id"] == plan["last_op"] == 60_000 and plan["log_bytes"] == 0  # over the bound, so it was flushed
+
+
+def test_relations_images_and_views_of_stored_documents(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "root"), Settings(cluster_id="c1"))
+    sites = {"fields": {"title": "text", "domain": "text", "favicon": {"type": "image", "max_kb": 4}}, "doc_id": {"field": "domain"}, "relation": {"field": "owner", "target_index": "owners"}}
+    pages = {"fields": {"title": "text", "version": {"type": "number", "searchable": False}, "queries": "query_values"}, "relation": {"field": "site_ref", "target_index": "sites"}}
+    assert cat.create_index("sites", sites) and cat.create_index("pages", pages) and cat.create_index("owners", {"fields": {"name": "text"}})
+    icon = base64.b64encode(bytes(range(90))).decode()
+    cat.index_document("owners", {"name": "Ann", "more": {"id": "x"}})
+    cat.index_document("sites", {"title": "Videos", "domain": "video.example", "favicon": {"format": "png", "content": icon}, "owner": 1})
+    refs = [{"id": "video.example", "index": "sites"}, "video.example", {"id": 1}, None, {"id": 1, "index": "owners"}, "lost"]
+    cat.bulk("pages", spark.createDataFrame([(i, json.dumps({"title": f"page of clips {i}", "site_ref": ref, "extra": [i]})) for i, ref in enumerate(refs)], "ordinal long, raw string"))
+    hits = cat.search("pages", {"q": "clips", "include_relations": "inline", "max_relation_depth": 2})[0].orderBy("doc_id").collect()
+    assert [r["relation_ref"] and tuple(r["relation_ref"]) for r in hits] == [("sites", "video.example")] * 2 + [("sites", "1"), None, ("owners", "1"), ("sites", "lost")]
+    assert [r["relation"] and json.loads(r["relation"]["doc"]).get("title") for r in hits] == ["Videos"] * 3 + [None, None, None]
+    assert hits[0]["relation"]["doc_id"] == "video.example" and json.loads(hits[0]["relation"]["relation"]["doc"])["name"] == "Ann" and json.loads(hits[4]["relation"]["doc"])["name"] == "Ann"
+    assert "relation" not in cat.search("pages", {"q": "clips"})[0].columns
+    groups = cat.relation_groups("pages", {"q": "clips"}).orderBy("position").collect()
+    assert sorted(len(g["children"]) for g in groups) == [1, 1, 1, 1, 2] and [g["n"] for g in groups if g["relation_ref"] is None] == [1]
+
+    assert cat.image("sites", 1, "favicon") == icon and cat.image("sites", 1, "title") is None
+    assert json.loads(hits[0]["relation"]["doc"])["favicon"]["bytes"] == 90
+    cat.update_document("sites", 1, {"title": "Clips"}, partial=True)
+    assert cat.image("sites", 1, "favicon") == icon
+    view = {"base_index": "pages", "select": ["title", "extra"], "relations": [{"name": "site", "field": "site_ref", "target_index": "sites", "select": ["title"], "include_image": True, "image_field": "favicon", "relations": [{"name": "owner", "field": "owner", "target_index": "owners", "select": ["name"]}]}]}
+    cat.put_view("tree", view)
+    rows = {r["doc_id"]: r for r in cat.run_view("tree", {"q": "clips"}).collect()}
+    assert len(rows) == 6 and json.loads(rows[1]["extra"]) == [0]
+    assert rows[1]["site"]["id"] == 1 and json.loads(rows[1]["site"]["doc"]) == {"title": "Clips"} and rows[1]["site"]["image"] == icon
+    assert json.loads(rows[1]["site"]["relations"]["owner"]["doc"]) == {"name": "Ann"} and rows[4]["site"] is None and rows[6]["site"] is None
+
+    cat.flush("sites")
+    cat.update_document("sites", 1, {"title": "New", "domain": "video.example", "owner": 1})
+    assert cat.image("sites", 1, "favicon") is None  # replaced by a document without one
+    for name in ("sites", "pages"):
+        cat.reindex(name)
+    assert scores(cat.search("sites", {"q": "new"})[0]).keys() == {1} and scores(cat.search("sites", {"q": "clips"})[0]) == {}
+    cat.index_document("pages", {"title": "later clips", "labels": ["short", 5], "flag": True})
+    cat.delete_document("pages", 1)
+    plain = SearchIndex(documents.typed(cat.documents("pages"), cat.schema("pages")), cat.schema("pages"))
+    for mode in ("or", "hybrid"):
+        assert scores(cat.search("pages", {"q": "later clips", "mode": mode})[0]) == pytest.approx(scores(rank.rank(plain, "later clips", 10, mode)))
+    for params, want in (({"label": "short"}, {7}), ({"label": "5"}, set()), ({"flag": "true"}, {7}), ({"flag": "no"}, set())):
+        assert set(scores(cat.search("pages", {"q": "clips", **params})[0])) == want
+
+    state = cat.cluster_state()
+    assert state["cluster_id"] == "c1" and {i["name"]: i["flushed_op"] for i in state["indexes"]}["sites"] == 2 and cat.health() == {"status": "ok", "indexes": 3, "broken": []}
+    assert cat.config()["flush_docs"] == 5000
+    assert tuple(cat.totals().first())[:2] == (3, 8)
+    replica = Catalog(spark, str(tmp_path / "replica"))
+    assert replica.fetch(cat.root) == ["owners", "pages", "sites"] and replica.views() == ["tree"]
+    assert {n: replica.document_count(n) for n in replica.indexes()} == {n: cat.document_count(n) for n in cat.indexes()}
+    assert replica.index_document("pages", {"title": "eighth"}) == 8
+
+
+def test_segments_are_merged_and_old_ones_go(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path), Settings(flush_docs=2, merge_segments=3))
+    cat.create_index("s", {"fields": {"t": "text"}})
+    for i in range(3):
+        cat.bulk("s", spark.createDataFrame([(0, f'{{"t": "text {i}"}}'), (1, '{"t": "more"}')], "ordinal long, raw string"))
+    cat.delete_document("s", 2)
+    cat.flush("s")
+    m = snapshots.manifest(spark, f"{tmp_path}/s/snapshot")
+    assert len(m["segments"]) <= 3 and cat.document_count("s") == 5 and cat.recover("s").count() == 5 and m["op_id"] == 7
+    assert len([p for p in (tmp_path / "s" / "snapshot").iterdir() if len(p.name) == 32]) <= 6
+    assert [r["op_id"] for r in cat.changes("s", 5).orderBy("op_id").collect()] == [6, 7]
+
+
+def test_only_one_writer_at_a_time(spark, tmp_path):
+    with files.locked(spark, f"{tmp_path}/lock"), pytest.raises(TimeoutError), files.locked(spark, f"{tmp_path}/lock", 0.2):
+        pass
+    with files.locked(spark, f"{tmp_path}/lock"):
+        files.write_text(spark, f"{tmp_path}/a", "one")
+        files.write_text(spark, f"{tmp_path}/a", "two")
+    assert files.read_text(spark, f"{tmp_path}/a") == "two"
+
+
+def test_graph_walk_finds_the_nearest(spark):
+    rng = np.random.default_rng(1)
+    vecs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)], "doc_id long, vec array<double>")
+    graph = ann.NeighbourGraph.build(vecs)
+    queries = vecs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    exact = ann.neighbour_graph(vecs, 9).select(F.col("doc_id").alias("query_id"), F.col("neighbour").alias("doc_id")).join(queries.select("query_id"), "query_id", "left_semi")
+    assert ann.recall_at_k(ann.search_graph(graph, queries, 10, 64), exact, 9).first()["recall"] >= 0.9
+    index = SearchIndex(vecs, IndexSchema.parse({"fields": {"vec": {"type": "vector", "dim": 8}}}))
+    own = vecs.filter("doc_id = 7").first()["vec"]
+    assert search(index, {"mode": "vector", "vec": own, "size": 3, "ef_search": 50}, graph=graph)[0].orderBy("rank").first()["doc_id"] == 7
+    assert ann.search_graph(ann.NeighbourGraph.build(vecs.limit(0)), queries, 3).count() == 0
+
+
+def test_fuzzy_says_when_it_cuts(spark, demo, monkeypatch):
+    monkeypatch.setattr(rank, "EXPANSIONS", 1)
+    with pytest.warns(UserWarning, match="expands"):
+        rank.rank(demo, "fox dog", 10, "fuzzy", distance=1)

@@ -28,7 +28,7 @@ def tokens(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """How many tokens a text has, without building the array."""
+    """How many tokens a text has."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
 
 

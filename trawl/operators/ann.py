@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from trawl.functions import vectors
 from trawl.operators.ordering import top_k
 from trawl.operators.rank import unit
+from trawl.sources.scratch import release, stored
 
 CLUSTERS, PROBES, NEIGHBOURS, ITERATIONS = 8, 2, 16, 2
+#: Hits that a walk over the neighbour graph keeps, at least; vectors it starts from; and rounds after which it ends in any case.
+EF_SEARCH, ENTRIES, ROUNDS = 64, 32, 24
 #: Vectors of a block of the neighbour graph; a task holds two blocks and their products.
 BLOCK = 4096
 
@@ -130,3 +133,58 @@ def search_lists(lists: InvertedLists, queries: DataFrame, k: int, probes: int =
     probed = queries.withColumn("_c", F.explode(order)).select("query_id", "qvec", F.col("_c.cid").alias("cid"))
     blocks = lambda df: max(1, math.ceil(df.count() / len(lists.centroids) / block))
     return _best_by_block(probed, lists.lists.select("cid", "doc_id", "vec"), k, ["cid"], blocks(probed), blocks(lists.lists))
+
+
+@dataclass
+class NeighbourGraph:
+    """Links (doc_id, neighbour) between near vectors, in both directions, and the vectors (doc_id, vec) themselves."""
+
+    links: DataFrame
+    vecs: DataFrame
+
+    @staticmethod
+    def build(vecs: DataFrame, m: int = NEIGHBOURS, block: int = BLOCK) -> NeighbourGraph:
+        """The m nearest of every vector, and the 2m nearest of those that count it among theirs: no vector has more than 3m links."""
+        near = stored(neighbour_graph(vecs, m, block), "neighbours")
+        back = near.select(F.col("neighbour").alias("doc_id"), F.col("doc_id").alias("neighbour"), "similarity")
+        order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "neighbour")
+        back = back.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2 * m)
+        links = near.select("doc_id", "neighbour").unionAll(back.select("doc_id", "neighbour")).distinct()
+        return NeighbourGraph(stored(links, "links"), vecs)
+
+    def search(self, query: Sequence[float], k: int, ef: int = 0) -> DataFrame:
+        """Best k hits (doc_id, score) of one query vector, by a walk that keeps max(k, ef or EF_SEARCH) of them."""
+        one = self.vecs.sparkSession.range(1).select(F.col("id").alias("query_id"), vectors.literal(query).alias("qvec"))
+        return top_k(search_graph(self, one, k, ef).select("doc_id", "score"), k)
+
+
+def search_graph(graph: NeighbourGraph, queries: DataFrame, k: int, ef: int = 0) -> DataFrame:
+    """(query_id, doc_id, score, rank) for every query (query_id, qvec): best k of a best-first walk over the graph.
+
+    All queries walk at once. A round looks at the links of every hit not yet followed, scores the
+    vectors they lead to, and keeps each query's best max(k, ef); the walk ends when all hits that
+    are kept have been followed. It starts from vectors chosen by the hash of their ids. Only ids
+    and scores are held, ef a query; each round is written, so lineage stays short.
+    """
+    keep = max(k, ef or EF_SEARCH)
+    starts = [r["doc_id"] for r in graph.vecs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ENTRIES).collect()]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    score = F.round(vectors.dot(F.col("vec"), F.col("qvec")) / (vectors.norm(F.col("vec")) * vectors.norm(F.col("qvec")) + F.lit(vectors.TINY)), 6)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(graph.vecs.select("doc_id", "vec"), "doc_id").join(queries, "query_id").select("query_id", "doc_id", score.alias("score"), F.lit(False).alias("followed"))
+
+    def best(found: DataFrame) -> DataFrame:
+        return stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep), "walk")
+
+    entries = queries.select("query_id", F.explode(F.array(*(F.lit(s).cast("long") for s in starts))).alias("doc_id")) if starts else queries.select("query_id", F.lit(None).cast("long").alias("doc_id")).limit(0)
+    hits = best(scored(entries))
+    for _ in range(ROUNDS):
+        ahead = hits.filter("not followed").select("query_id", "doc_id")
+        if ahead.isEmpty():
+            break
+        found = ahead.join(graph.links, "doc_id").select("query_id", F.col("neighbour").alias("doc_id")).distinct().join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        new = best(scored(found).unionByName(hits.drop("rank").withColumn("followed", F.lit(True))))
+        release(hits)
+        hits = new
+    return hits.filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")

@@ -6,34 +6,15 @@ JSON text. Declared fields are read from it with from_json, and checked as varia
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import crc32_hex, from_base64, to_base64
+from trawl.functions.variants import elements_of, field_of, kind_of, object_of
 from trawl.operators.ordering import global_rank
 from trawl.schema import IndexSchema
 
 
-def _at(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, "$['" + name.replace("'", "\\'") + "']", "variant")
-
-
-def _kind(value: Column) -> Column:
-    """JSON kind of a variant: STRING, BOOLEAN, NUMBER, ARRAY, OBJECT, NULL; null if there is none."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None))
-        .when(name.startswith("OBJECT"), "OBJECT").when(name.startswith("ARRAY"), "ARRAY")
-        .when(name == "VOID", "NULL").when(name.isin("STRING", "BOOLEAN"), name).otherwise("NUMBER")
-    )
-
-
-def _elements(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def _all(elements: Column, test) -> Column:
     return F.coalesce(F.forall(elements, lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))
 
@@ -49,10 +30,10 @@ def problem(schema: IndexSchema, doc: Column) -> Column:
     Declared fields are optional, but an explicit null breaks their rule. A vector may be longer than
     declared. Images that were stored before (without content) are accepted.
     """
-    found = [F.when(F.coalesce(_kind(doc), F.lit("")) != "OBJECT", "not a JSON object")]
+    found = [F.when(F.coalesce(kind_of(doc), F.lit("")) != "OBJECT", "not a JSON object")]
     for f in schema.fields.values():
-        v = _at(doc, f.name)
-        kind = _kind(v)
+        v = field_of(doc, f.name)
+        kind = kind_of(v)
         if f.kind == "text":
             bad = kind != "STRING"
         elif f.kind == "bool":
@@ -60,29 +41,29 @@ def problem(schema: IndexSchema, doc: Column) -> Column:
         elif f.kind == "number":
             bad = kind != "NUMBER"
         elif f.kind == "array":
-            bad = (kind != "ARRAY") | ~_all(_elements(v), lambda e: F.schema_of_variant(e) == "STRING")
+            bad = (kind != "ARRAY") | ~_all(elements_of(v), lambda e: F.schema_of_variant(e) == "STRING")
         elif f.kind == "vector":
-            bad = (kind != "ARRAY") | (F.size(_elements(v)) < f.dim)
+            bad = (kind != "ARRAY") | (F.size(elements_of(v)) < f.dim)
         elif f.kind == "image":
             content = F.try_variant_get(v, "$.content", "string")
             size = F.length(from_base64(content))
-            bad = (kind != "OBJECT") | ((_kind(_at(v, "content")).isNull() | (_kind(_at(v, "content")) != "STRING")) & _at(v, "hash").isNull()) | F.coalesce(size > f.max_kb * 1024, F.lit(False))
+            bad = (kind != "OBJECT") | ((kind_of(field_of(v, "content")).isNull() | (kind_of(field_of(v, "content")) != "STRING")) & field_of(v, "hash").isNull()) | F.coalesce(size > f.max_kb * 1024, F.lit(False))
         else:
             def hint(e: Column) -> Column:
                 score = F.try_variant_get(e, "$.score", "double")
-                return (_kind(_at(e, "query")) == "STRING") & (_kind(_at(e, "score")) == "NUMBER") & score.between(0, 1)
+                return (kind_of(field_of(e, "query")) == "STRING") & (kind_of(field_of(e, "score")) == "NUMBER") & score.between(0, 1)
 
-            bad = (kind != "ARRAY") | ~_all(_elements(v), hint)
+            bad = (kind != "ARRAY") | ~_all(elements_of(v), hint)
         found.append(F.when(v.isNotNull() & bad, f"field {f.name} is not a valid {f.kind}"))
     if schema.doc_id:
-        kind = _kind(_at(doc, schema.doc_id.field))
-        wanted = kind.isin("STRING", "NUMBER") if schema.doc_id.kind == "string" else (kind == "NUMBER") | F.try_variant_get(_at(doc, schema.doc_id.field), "$", "string").rlike(r"^\d+$")
+        kind = kind_of(field_of(doc, schema.doc_id.field))
+        wanted = kind.isin("STRING", "NUMBER") if schema.doc_id.kind == "string" else (kind == "NUMBER") | F.try_variant_get(field_of(doc, schema.doc_id.field), "$", "string").rlike(r"^\d+$")
         found.append(F.when(~F.coalesce(wanted, F.lit(False)), f"document id {schema.doc_id.field} is missing or invalid"))
     if schema.relation:
-        v = _at(doc, schema.relation.field)
-        kind = _kind(v)
+        v = field_of(doc, schema.relation.field)
+        kind = kind_of(v)
         found.append(F.when(v.isNotNull() & ~kind.isin("STRING", "NUMBER", "OBJECT", "NULL"), "invalid reference"))
-        found.append(F.when((kind == "OBJECT") & _at(v, "id").isNull(), "reference without id"))
+        found.append(F.when((kind == "OBJECT") & field_of(v, "id").isNull(), "reference without id"))
         if not schema.relation.allow_cross_index:
             target = F.coalesce(F.try_variant_get(v, "$.index", "string"), F.lit(""))
             found.append(F.when((kind == "OBJECT") & ~target.isin("", schema.relation.target_index), "reference to another index"))
@@ -93,37 +74,37 @@ def external_id(schema: IndexSchema, doc: Column) -> Column:
     """The id that a document gives itself; whole numbers lose leading zeros where ids are numbers."""
     if schema.doc_id is None:
         return F.lit(None).cast("string")
-    text = F.try_variant_get(_at(doc, schema.doc_id.field), "$", "string")
+    text = F.try_variant_get(field_of(doc, schema.doc_id.field), "$", "string")
     return F.try_to_number(text, F.lit("999999999999999999")).cast("bigint").cast("string") if schema.doc_id.kind == "number" else text
 
 
-def _object(doc: Column) -> Column:
-    return F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-
-
 def merged(old: Column, new: Column) -> Column:
     """JSON text of the top-level merge of two JSON texts: keys of `new` replace those of `old`."""
-    a, b = _object(F.try_parse_json(old)), _object(F.try_parse_json(new))
+    a, b = object_of(F.try_parse_json(old)), object_of(F.try_parse_json(new))
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b), {"ignoreNullFields": "false"})
 
 
 def prepared(docs: DataFrame, schema: IndexSchema, now: Column | None = None, raw: str = "raw") -> DataFrame:
     """Stamps `_created_at` (unless given) and `_updated_at` in epoch milliseconds, and turns images into their metadata.
 
-    Each image field gets a BINARY column `<field>_data`; in the document stay its format, size and CRC-32.
+    `images` gets the decoded bytes by field; in the document stay an image's format, size and
+    CRC-32. Images that a column `images` had before stay for the fields the document gives no content for.
     """
     millis = F.unix_millis(F.current_timestamp()) if now is None else now
     out = parsed(docs, raw)
     stamp = F.to_json(F.struct(F.coalesce(F.try_variant_get(F.col("_doc"), "$._created_at", "bigint"), millis).alias("_created_at"), millis.alias("_updated_at")))
-    text = merged(F.col(raw), stamp)
+    text, given_images = merged(F.col(raw), stamp), []
     for name in schema.names("image"):
-        given = _at(F.col("_doc"), name)
+        given = field_of(F.col("_doc"), name)
         content = F.try_variant_get(given, "$.content", "string")
-        out = out.withColumn(f"{name}_data", from_base64(content))
-        data = F.col(f"{name}_data")
+        data = from_base64(content)
         meta = F.struct(F.struct(F.coalesce(F.try_variant_get(given, "$.format", "string"), F.lit("")).alias("format"), F.length(data).alias("bytes"), crc32_hex(data).alias("hash")).alias(name))
         text = F.when(content.isNotNull(), merged(text, F.to_json(meta))).otherwise(text)
-    return out.withColumn(raw, text).drop("_doc")
+        given_images.append(F.struct(F.lit(name).alias("key"), data.alias("value")))
+    none = F.create_map().cast("map<string,binary>")
+    new = F.map_from_entries(F.filter(F.array(*given_images), lambda e: e["value"].isNotNull())) if given_images else none
+    old = F.map_filter(F.coalesce("images", none), lambda k, _: ~F.map_contains_key(new, k)) if "images" in docs.columns else none
+    return out.withColumn(raw, text).withColumn("images", F.map_concat(old, new)).drop("_doc")
 
 
 def bulk(batch: DataFrame, schema: IndexSchema, existing: DataFrame | None = None, continue_on_error: bool = True, ordinal: str = "ordinal", raw: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -194,14 +175,14 @@ def stored_match(docs: DataFrame, field: str, value: object, raw: str = "raw") -
     import json
 
     wanted = F.parse_json(F.lit(json.dumps(value)))
-    v = _at(F.try_parse_json(F.col(raw)), field)
+    v = field_of(F.try_parse_json(F.col(raw)), field)
 
     def same(e: Column) -> Column:
         numbers = F.try_variant_get(e, "$", "double") == F.try_variant_get(wanted, "$", "double")
         texts = F.to_json(e) == F.to_json(wanted)
-        return (_kind(e) == _kind(wanted)) & F.when(_kind(wanted) == "NUMBER", numbers).otherwise(texts)
+        return (kind_of(e) == kind_of(wanted)) & F.when(kind_of(wanted) == "NUMBER", numbers).otherwise(texts)
 
-    hit = F.when(_kind(v) == "ARRAY", F.exists(_elements(v), lambda e: F.coalesce(same(e), F.lit(False)))).otherwise(same(v))
+    hit = F.when(kind_of(v) == "ARRAY", F.exists(elements_of(v), lambda e: F.coalesce(same(e), F.lit(False)))).otherwise(same(v))
     return docs.filter(F.coalesce(hit, F.lit(False))).select("doc_id")
 
 
@@ -214,8 +195,5 @@ def column_match(docs: DataFrame, column: str, value: object, id_col: str = "doc
 
 def image_base64(docs: DataFrame, field: str) -> DataFrame:
     """(doc_id, content): a stored image's bytes as base64 on one line."""
-    return docs.filter(F.col(f"{field}_data").isNotNull()).select("doc_id", to_base64(F.col(f"{field}_data")).alias("content"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    data = F.element_at("images", F.lit(field))
+    return docs.filter(data.isNotNull()).select("doc_id", to_base64(data).alias("content"))

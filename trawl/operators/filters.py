@@ -43,13 +43,20 @@ def between(column: Column, low: float | None, high: float | None) -> Column:
     return out
 
 
+def _stored_element(field: str, value: str) -> Column:
+    """Whether an array of the stored document has a string, whatever else it holds."""
+    elements = F.try_variant_get(F.try_parse_json("raw"), f"$.{field}", "array<variant>")
+    return F.exists(elements, lambda e: F.coalesce((F.schema_of_variant(e) == "STRING") & (e.cast("string") == value), F.lit(False)))
+
+
 def conditions(schema: IndexSchema, params: Mapping[str, object], columns: list[str]) -> list[Column]:
     """Conditions of a request's parameters, all of which must hold.
 
     range_field with range_min and range_max; tag and label (membership in `tags` and `labels`);
-    flag; filter_<field> by the field's kind; filter_<field>_min and _max. Bounds that aren't
-    numbers are ignored; an equality with a number that isn't one raises ValueError. A range over a field that is no
-    searchable number matches nothing.
+    flag; filter_<field> by the field's kind; filter_<field>_min and _max. Tags, labels and the
+    flag are also found in the stored document (a column `raw`) where they aren't declared. Bounds
+    that aren't numbers are ignored; an equality with a number that isn't one raises ValueError. A
+    range over a field that is no searchable number matches nothing.
     """
     out: list[Column] = []
     never = F.lit(False)
@@ -60,9 +67,11 @@ def conditions(schema: IndexSchema, params: Mapping[str, object], columns: list[
         out.append(between(F.col(str(field)), _number(params.get("range_min")), _number(params.get("range_max"))) if numeric else never)
     for name, column in (("tag", "tags"), ("label", "labels")):
         if params.get(name):
-            out.append(F.array_contains(column, str(params[name])) if column in columns else never)
+            out.append(F.array_contains(column, str(params[name])) if column in columns else _stored_element(column, str(params[name])) if "raw" in columns else never)
     if params.get("flag") not in (None, ""):
-        out.append((F.col("flag") == F.lit(_true(params["flag"]))) if "flag" in columns else never)
+        stored = F.try_variant_get(F.try_parse_json("raw"), "$.flag", "variant")
+        own = F.col("flag") if "flag" in columns else F.when(F.schema_of_variant(stored) == "BOOLEAN", stored.cast("boolean")) if "raw" in columns else F.lit(None).cast("boolean")
+        out.append(own == F.lit(_true(params["flag"])))
     for name, f in schema.fields.items():
         value = params.get(f"filter_{name}")
         if value not in (None, ""):

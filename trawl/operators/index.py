@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import term_frequency, token_count, tokens
 from trawl.schema import IndexSchema
+from trawl.sources.files import read_text, write_text
 
 SKIP = 8
 #: Queries of at most this many terms are counted in the documents' rows; longer ones meet the postings in a join.
 WIDE_TERMS = 32
 
 
+def rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A small table of the driver's values, as a local relation: no Python worker is started for it."""
+    kinds = {str: pa.string(), int: pa.int64(), float: pa.float64()}
+    return spark.createDataFrame(pa.table({n: pa.array(v, kinds[type(v[0])] if v else pa.string()) for n, v in columns.items()}))
+
+
 @dataclass
 class SearchIndex:
     """A collection with a typed column per declared field and a BIGINT doc_id.
 
-    Nothing is computed before it is asked for. Counting a query's terms takes one map pass over
-    the text: no postings are shuffled. `save` writes postings sorted by term, and an index opened
-    from them reads only the row groups of the terms it needs.
+    Nothing is computed before it is asked for. An index that was saved is opened from postings
+    sorted by term, which carry their documents' lengths, a vocabulary with document frequencies
+    and the corpus statistics: a query then reads the row groups of its terms and no text. Without
+    a saved index, a query's terms are counted in one map pass over the texts.
     """
 
     docs: DataFrame
     schema: IndexSchema
     id_col: str = "doc_id"
+    #: (term, doc_id, tf, doc_len), (doc_id, doc_len), (term, df) and (n_docs, n_tokens) of a saved index; the last two only if nothing has changed since.
     stored_postings: DataFrame | None = None
     stored_lengths: DataFrame | None = None
+    stored_terms: DataFrame | None = None
+    stored_counts: tuple[int, int] | None = None
 
     def bag(self) -> Column:
         """All searchable text and array elements of a document as one text; without declared fields, all strings of its JSON."""
@@ -44,21 +57,41 @@ class SearchIndex:
             return self.stored_lengths
         return self.docs.select(F.col(self.id_col).alias("doc_id"), token_count(self.bag()).cast("long").alias("doc_len"))
 
+    def measured_postings(self) -> DataFrame:
+        """(term, doc_id, tf, doc_len)."""
+        if self.stored_postings is not None:
+            return self.stored_postings
+        found = self.docs.select(F.col(self.id_col).alias("doc_id"), tokens(self.bag()).alias("_t"))
+        exploded = found.select("doc_id", F.size("_t").cast("long").alias("doc_len"), F.explode("_t").alias("term"))
+        return exploded.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "doc_len")
+
     def postings(self) -> DataFrame:
         """(term, doc_id, tf)."""
         if self.stored_postings is not None:
-            return self.stored_postings
+            return self.stored_postings.select("term", "doc_id", "tf")
         exploded = self.docs.select(F.col(self.id_col).alias("doc_id"), F.explode(tokens(self.bag())).alias("term"))
         return exploded.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
     def corpus(self) -> DataFrame:
         """One row: n_docs, n_tokens, avgdl (1.0 if no document has a token, as scores divide by it)."""
+        if self.stored_counts is not None:
+            n_docs, n_tokens = self.stored_counts
+            return _averaged(self.docs.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(n_tokens).cast("long").alias("n_tokens")))
         return _averaged(self.lengths().agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_tokens")))
 
     def document_frequencies(self) -> DataFrame:
-        """(term, df)."""
+        """(term, df); a filter on the term reaches the saved index."""
+        if self.stored_terms is not None:
+            return self.stored_terms
         return self.postings().groupBy("term").agg(F.count("*").alias("df"))
 
+    def matches(self, terms: dict[str, int]) -> DataFrame:
+        """(term, qtf, doc_id, tf, doc_len, df) of a saved index's postings of the given terms; only their row groups are read."""
+        names = list(terms)
+        known = self.document_frequencies().filter(F.col("term").isin(names))
+        known = known.join(F.broadcast(rows(self.docs.sparkSession, {"term": names, "qtf": list(terms.values())})), "term")
+        return self.measured_postings().filter(F.col("term").isin(names)).join(F.broadcast(known), "term")  # a row a term
+
     def skip_pointers(self, stride: int = SKIP) -> DataFrame:
         """(term, position, doc_id): every stride-th posting of each term, for inspection."""
         position = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
@@ -67,24 +100,27 @@ class SearchIndex:
     def without(self, deleted: DataFrame) -> SearchIndex:
         """The index without the documents of (doc_id)."""
         gone = deleted.select(F.col("doc_id").alias(self.id_col))
-        parts = [None if t is None else t.join(deleted.select("doc_id"), "doc_id", "left_anti") for t in (self.stored_postings, self.stored_lengths)]
-        return SearchIndex(self.docs.join(gone, self.id_col, "left_anti"), self.schema, self.id_col, *parts)
+        return replace(self._less(deleted.select("doc_id")), docs=self.docs.join(gone, self.id_col, "left_anti"))
+
+    def _less(self, gone: DataFrame) -> SearchIndex:
+        parts = [None if t is None else t.join(gone, "doc_id", "left_anti") for t in (self.stored_postings, self.stored_lengths)]
+        return SearchIndex(self.docs, self.schema, self.id_col, *parts)
+
+    def refreshed(self, changed: DataFrame) -> SearchIndex:
+        """A saved index after the documents of (doc_id) were added, replaced or deleted: only those that exist are read and tokenised."""
+        ids = changed.select("doc_id").distinct()
+        new = SearchIndex(self.docs.join(ids.select(F.col("doc_id").alias(self.id_col)), self.id_col, "left_semi"), self.schema, self.id_col)
+        old = self._less(ids)
+        return replace(old, stored_postings=old.stored_postings.unionByName(new.measured_postings()), stored_lengths=old.stored_lengths.unionByName(new.lengths()))
 
     def wide(self, terms: Iterable[str]) -> DataFrame:
-        """(doc_id, doc_len, tf0, tf1, ...): how often each term occurs; a stored index leaves out documents without any."""
-        terms = list(terms)
-        if self.stored_postings is not None:
-            own = self.stored_postings.filter(F.col("term").isin(terms)).groupBy("doc_id")
-            counted = own.agg(*(F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)))
-            return counted.join(self.lengths(), "doc_id")
+        """(doc_id, doc_len, tf0, tf1, ...): how often each term occurs, in the documents that aren't indexed."""
         counted = self.docs.select(F.col(self.id_col).alias("doc_id"), self.bag().alias("_bag"))
         return counted.select("doc_id", token_count(F.col("_bag")).cast("long").alias("doc_len"), *(term_frequency(F.col("_bag"), t).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)))
 
     def wide_statistics(self, wide: DataFrame, terms: Iterable[str]) -> DataFrame:
-        """One row: n_docs, avgdl, and df0, df1, ... of the terms; where `wide` counts in the documents, one pass gives all."""
+        """One row: n_docs, avgdl, and df0, df1, ... of the terms, in one pass."""
         frequencies = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i, _ in enumerate(terms)]
-        if self.stored_postings is not None:
-            return self.corpus().select("n_docs", "avgdl").crossJoin(wide.agg(*frequencies))
         return _averaged(wide.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_tokens"), *frequencies)).drop("n_tokens")
 
     def query_values(self) -> DataFrame:
@@ -106,14 +142,24 @@ class SearchIndex:
         return self.docs.select(F.col(self.id_col).alias("doc_id"), value.alias("value")).filter("value is not null")
 
     def save(self, path: str) -> None:
-        """Postings in order of term and document, and lengths, as tables below a path."""
-        self.postings().repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings in order of term and document, lengths, the vocabulary and the statistics, below a path; the statistics are written last.
+
+        A hot term's postings are spread over the range partitions of (term, doc_id); frequencies
+        and counts come from the written tables.
+        """
+        read = self.docs.sparkSession.read
+        self.measured_postings().repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths().write.mode("overwrite").parquet(f"{path}/lengths")
+        terms = read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        counts = read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+        write_text(self.docs.sparkSession, f"{path}/counts.json", json.dumps(list(counts)))
 
     def opened(self, path: str) -> SearchIndex:
-        """This collection with the postings and lengths that save() wrote."""
+        """This collection with the index that save() wrote."""
         read = self.docs.sparkSession.read
-        return SearchIndex(self.docs, self.schema, self.id_col, read.parquet(f"{path}/postings"), read.parquet(f"{path}/lengths"))
+        parts = [read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")]
+        return SearchIndex(self.docs, self.schema, self.id_col, *parts, tuple(json.loads(read_text(self.docs.sparkSession, f"{path}/counts.json"))))
 
 
 def _averaged(total: DataFrame) -> DataFrame:
@@ -121,5 +167,11 @@ def _averaged(total: DataFrame) -> DataFrame:
 
 
 def text_leaves(raw: Column) -> Column:
-    """All string values of a JSON text at any depth, as one text: what an index without declared fields is searched by."""
-    return F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(r'(?:[:\[,]\s*)"((?:[^"\\]|\\.)*)"(?!\s*:)'), 1), lambda x: F.regexp_replace(x, r"\\.", " ")), " ")
+    """All string values of a JSON text at any depth, as one text: what an index without declared fields is searched by.
+
+    Every string literal of the text is read with the colon that may follow it, so keys are told
+    from values; the values' escapes are decoded by the JSON reader. What isn't JSON has none.
+    """
+    literals = F.filter(F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\]|\\.)*+"\s*+:?'), 0), lambda x: ~x.endswith(":"))
+    values = F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
+    return F.when(F.try_parse_json(raw).isNotNull(), F.array_join(values, " ")).otherwise("")
