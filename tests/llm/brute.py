@@ -90,7 +90,7 @@ def contaminated(docs, tests, phrase=13, share=0.8, slop=3, least=8):
         for item, q in tests:
             terms = plain_words(q)
             m = len(terms)
-            if item is None or m < least:
+            if item is None or not m:
                 continue
             n, exact = min(phrase, m), None
             for o in range(m):
@@ -104,6 +104,8 @@ def contaminated(docs, tests, phrase=13, share=0.8, slop=3, least=8):
                         exact = (k, -i)
             if exact:
                 found = (True, exact[0], exact[1])
+            elif m < least:
+                found = None
             else:
                 need, found = math.ceil(share * m - 1e-9), None
                 if sum(x in place for x in terms) < need:
@@ -113,9 +115,9 @@ def contaminated(docs, tests, phrase=13, share=0.8, slop=3, least=8):
                     k = sum(any(abs(i - (start + o)) <= slop for i in place.get(terms[o], ())) for o in range(m))
                     if k >= need and (found is None or (k, -max(0, start)) > found[1:]):
                         found = (False, k, -max(0, start))
-            if found and found > best.get((d, item), (False, 0, 1)):
-                best[(d, item)] = found
-    return {(d, i, "exact" if e else "near", m) for (d, i), (e, m, _) in best.items()}
+            if found and (*found, m) > best.get((d, item), (False, 0, 1, 0)):
+                best[(d, item)] = (*found, m)
+    return {(d, i, "short" if n < least else "exact" if e else "near", m) for (d, i), (e, m, _, n) in best.items()}
 
 
 def shingles(line, n=5):

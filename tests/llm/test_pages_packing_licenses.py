@@ -7,10 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.llm import html, licenses, packing, queries, urls
+from trawl.llm import html, licenses, packing, queries, tokens, urls
 
 # HTML
 
@@ -162,7 +163,7 @@ def check_bins(out, tokens, capacity):
 
 def test_packing_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4)
-    tokens = {r["doc_id"]: len(re.findall(r"\w+|[^\w\s]", r["text"], re.ASCII)) for r in docs.collect()}
+    tokens = {r["doc_id"]: len(re.findall(r"\w+|[^\w\s]", r["text"])) for r in docs.collect()}
     for group_bins in (packing.GROUP_BINS, 4):
         n = check_bins(packing.packed(docs, group_bins=group_bins).collect(), tokens, packing.CAPACITY)
         assert n <= 1.06 * math.ceil(sum(tokens.values()) / packing.CAPACITY) + 2
@@ -204,10 +205,37 @@ def test_packing_edges(spark):
         packing.packed(df, 0)
 
 
-def test_packing_with_a_tokenizer(spark):
-    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_token_counts_equal_the_tokenizer(spark, sf_dir, monkeypatch, name):
+    path = f"/opt/tokenizers/{name}.tiktoken"
+    with open(path, "rb") as file:
+        ranks = file.read()
+    counter = tokens.Counter(ranks)
+    rng = np.random.default_rng(8)
+    alphabet = list("aZé日١5 '\n\t\u00a0\u3000.-_sdmtlvre'") + ["  ", "'ll", "'re", " 's", "\n ", " \n", "ſ", "Ⅷ", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet, k)) for k in rng.integers(0, 60, 3000)]
+    texts += [None, "", " ", "it's 'tis they'll'll we've'", "naïve café straße", "x" * 3000, *(r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())]
+    want = [len(counter.model.encode_ordinary(t or "")) for t in texts]
+    assert counter(pa.array(texts)).tolist() == want
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    assert counter(pa.array(texts)).tolist() == want
+
+
+def test_packing_with_a_tokenizer(spark, sf_dir):
     df = spark.createDataFrame([(1, "Hello world, this is a test."), (2, None)], "doc_id long, text string")
-    assert {r["doc_id"]: r["n"] for r in packing.token_counts(df, tokenizer=path).collect()} == {1: 8}
+    assert {r["doc_id"]: r["n"] for r in packing.token_counts(df, tokenizer="/opt/tokenizers/byte_bpe_50k.tiktoken").collect()} == {1: 8}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = {r["doc_id"]: r["n"] for r in packing.token_counts(docs, tokenizer=packing.TOKENIZER).collect()}
+    check_bins(queries.op6_packing(spark, sf_dir).collect(), sizes, packing.CAPACITY)
+
+
+def test_packing_ends_at_one_root(spark):
+    """Bins that can't join one another are finished, whatever their number, and small ones still find their place."""
+    sizes = [6] * 300 + [4] * 40 + [3] * 7
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(16)
+    n = check_bins(packing.packed(df, 10, group_bins=5).collect(), dict(enumerate(sizes)), 10)
+    assert n == 300  # every four and three lies beside a six
 
 
 # Licences

@@ -230,6 +230,26 @@ def test_contaminated_small(spark):
     assert decontaminate.contaminated(df, ts.limit(0)).count() == 0
 
 
+def test_contaminated_short_items_are_found_whole(spark):
+    some = [(1, "He said: Yes, we can! And so"), (2, "yes we did can"), (3, "yes"), (4, "can yes we can")]
+    tests = [(1, "yes we can"), (2, "Yes"), (3, "?!")]
+    df, ts = spark.createDataFrame(some, DOCS), spark.createDataFrame(tests, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"], r["matched"]) for r in decontaminate.contaminated(df, ts).collect()}
+    assert got == brute.contaminated(some, tests) == {(1, 1, "short", 3), (4, 1, "short", 3), *((d, 2, "short", 1) for d in (1, 2, 3, 4))}
+
+
+def test_contaminated_long_texts_are_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 2000)
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary, 20 + 5 * i))) for i in range(6)]
+    text = " ".join(" ".join(rng.choice(vocabulary, 300)) + " " + items[i % 6][1] for i in range(12))
+    rows = [(1, text), (2, text.replace("w7 ", "ÄÖ ")), (3, "x" * 9000 + " " + items[3][1])]
+    df, ts = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"], r["matched"]) for r in decontaminate.contaminated(df, ts).collect()}
+    assert got == brute.contaminated(rows, items) and len(got) >= 13
+
+
 def test_contaminated_chunks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 10)
     items = [(i, " ".join(f"t{i}w{j}" for j in range(14))) for i in range(4)]

@@ -1,19 +1,23 @@
 """Vectorised text primitives that work on the buffers of Arrow string columns.
 
 Every helper here treats a null text as an empty one and handles texts of any length. Work is
-cut into slices of bounded size, so a worker's memory follows the slice (or the longest single
-text), not the Arrow batch.
+cut into slices of bounded size, and `parts` cuts a longer text too, so a worker's memory follows
+the slice and not the Arrow batch or the text. Byte hashes are taken block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes that are hashed at a time, eight bytes of arrays each; and powers that a worker keeps.
+BLOCK, KEPT_POWERS = 1 << 17, 1 << 18
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,13 +49,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; short tables are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 64), base, dtype=np.uint64)
+        have = np.full(max(n, BLOCK + 64), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 4 * SLICE_BYTES:
+        if n <= KEPT_POWERS:
             _powers[base] = have
     return have[:n]
 
@@ -60,11 +64,27 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Hash of codes[start:end] for each span, from one running sum; depends on the content only."""
-    total = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(codes * powers(base, len(codes)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(inverse(base), len(codes) + 1)[starts] + (ends - starts).astype(np.uint64))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[start:end] of each span, spans in order and apart; it depends on the content only."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    up, down, i = powers(BASE, BLOCK), powers(inverse(BASE), BLOCK + 1), 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        hi = int(ends[j - 1])
+        if hi - lo <= BLOCK:
+            total = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum(BYTE_CODES[data[lo:hi]] * up[: hi - lo], out=total[1:])
+            a, b = starts[i:j] - lo, ends[i:j] - lo
+            out[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        else:  # one span longer than a block
+            s = 0
+            for k in range(lo, hi, BLOCK):
+                part = data[k : min(hi, k + BLOCK)]
+                s += int((BYTE_CODES[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(BASE, k - lo, 1 << 64)
+            out[i] = mix(np.array([(s + hi - lo) % (1 << 64)], dtype=np.uint64))[0]
+        i = j
+    return out
 
 
 def gram_hash(tokens: np.ndarray, n: int, total: np.ndarray | None = None) -> np.ndarray:
@@ -129,7 +149,7 @@ class Pieces:
         self.counts = np.diff(np.searchsorted(self.starts, offsets))
         self.rows = np.repeat(np.arange(self.n_rows), self.counts)
         if with_hash:
-            self.hashes = span_hash(BYTE_CODES[data], self.starts, self.ends)
+            self.hashes = span_hash(data, self.starts, self.ends)
 
     def chars(self) -> np.ndarray:
         """Characters of each span, not bytes."""
@@ -138,13 +158,96 @@ class Pieces:
         return total[self.ends] - total[self.starts]
 
 
+def _lowered(column: pa.Array) -> pa.Array:
+    return pc.utf8_lower(column.cast(pa.large_string()))
+
+
 def pieces(column: pa.Array, separators: np.ndarray, most: int = SLICE_BYTES, lower: bool = False, with_hash: bool = True) -> Iterator[tuple[int, int, Pieces]]:
-    """For each slice of the column: first row, end row, and its spans."""
-    if lower:
-        column = pc.utf8_lower(column)
+    """For each slice of the column: first row, end row, and its spans. Texts are whole, so one longer than a slice is a slice."""
+    _, rough = buffers(column)
+    for i, j in slices(rough, most):
+        own = column.slice(i, j - i)
+        yield i, j, Pieces(*buffers(_lowered(own) if lower else own), separators, with_hash)
+
+
+def parts(column: pa.Array, separators: np.ndarray, most: int = SLICE_BYTES, lower: bool = False, with_hash: bool = True, overlap: int = 0) -> Iterator[tuple[int, int, Pieces, int, bool]]:
+    """As `pieces`, with texts longer than a slice cut between spans: first row, end row, spans, number of the first span in its text, and whether the text ends here.
+
+    Each further part of a text begins with the last `overlap` spans of the part before. A single
+    span is never cut, so a part holds at least one more than those.
+    """
     data, offsets = buffers(column)
     for i, j in slices(offsets, most):
-        yield i, j, Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], separators, with_hash)
+        if j - i > 1 or offsets[j] - offsets[i] <= most:
+            own = column.slice(i, j - i)
+            yield i, j, Pieces(*buffers(_lowered(own) if lower else own), separators, with_hash), 0, True
+            continue
+        at, end, first, width = int(offsets[i]), int(offsets[j]), 0, most
+        while True:
+            ahead = at + width
+            while ahead < end:  # a part ends at a separator, a block further if there is none
+                found = np.flatnonzero(separators[data[ahead : ahead + BLOCK]])
+                if len(found):
+                    ahead += int(found[0]) + 1
+                    break
+                ahead += BLOCK
+            ahead = min(ahead, end)
+            raw = data[at:ahead]
+            if lower:
+                raw, _ = buffers(_lowered(pa.array([raw.tobytes()], pa.binary()).cast(pa.string())))
+            p = Pieces(raw, np.array([0, len(raw)]), separators, with_hash)
+            if ahead >= end:
+                yield i, j, p, first, True
+                break
+            n = len(p.starts)
+            if n <= overlap:  # too little to be of use: a longer part, from the same place
+                width *= 2
+                continue
+            width = most
+            yield i, j, p, first, False
+            if overlap:
+                # The next part begins at the same span in the text as it is, not as it was lowered.
+                own = Pieces(data[at:ahead], np.array([0, ahead - at]), separators, False) if lower else p
+                at += int(own.starts[n - overlap])
+            else:
+                at = ahead
+            first += n - overlap
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a reused worker would hold what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(f: Callable) -> Callable:
+    """A function for mapInArrow or applyInArrow, of one or two arguments, that gives its memory back at its end."""
+    if inspect.isgeneratorfunction(f):
+
+        def each(batches):
+            try:
+                yield from f(batches)
+            finally:
+                trim()
+
+        return each
+
+    def one(table):
+        try:
+            return f(table)
+        finally:
+            trim()
+
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            trim()
+
+    return one if len(inspect.signature(f).parameters) == 1 else two
 
 
 def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.exchange import stored
+from trawl.llm.exchange import release, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        edges = stored(small, "edges")
+        former, edges = edges, stored(small, "edges")
+        release(former)
         now = _state(edges)
         if now == state:
             break

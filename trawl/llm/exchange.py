@@ -3,15 +3,11 @@
 Operators that index hundreds of keys per document send them as packed blobs: a map task sorts
 its entries by slot (a hash of the key) and emits one row per slot. A slot's blobs meet in one
 ``applyInArrow`` group, where numpy sorts them. The number of slots grows with the number of
-entries, so a slot stays at a few million entries at every size.
+entries, so a slot stays at some hundred thousand entries at every size.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.arrowtext import mix
+from trawl.operators.ordering import fresh
+from trawl.sources.scratch import release, shared_dir, stored
+
+__all__ = ["by_slot", "fresh", "gathered", "n_slots", "pack", "release", "shared_dir", "sized", "slot_of", "stored", "tuned", "unpack"]
 
-ENTRIES_A_SLOT = 2_000_000
+#: Entries that meet in one group, some tens of bytes each with what sorting them takes.
+ENTRIES_A_SLOT = 400_000
+BATCH_BYTES = 4 << 20
 #: The largest side of a join, in bytes, that is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -67,57 +69,13 @@ def gathered(table: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=dtype), *(unpack(b, dtype) for b in table.column(name).to_pylist())])
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            at = known.get()
-        else:
-            at = tempfile.mkdtemp(prefix="trawl-")
-            spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it: lineage ends here, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/trawl-{what}-{uuid.uuid4().hex}"
-    # Once the table stands, the shuffles behind it are needless; Spark removes their files at the end of the write.
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(name: str, taken: list[str]) -> str:
-    """The name, with underscores added until no column has it; Spark compares names without case."""
-    lower = {c.lower() for c in taken}
-    while name.lower() in lower:
-        name += "_"
-    return name
+def tuned(df: DataFrame) -> DataFrame:
+    """The same, in a session whose Arrow batches are bounded by bytes: rows of text make batches of any size otherwise."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """The side of a join, marked for broadcast only if its counted rows take at most so many bytes; df should be cheap to count."""
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone already
-            return

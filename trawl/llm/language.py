@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.arrowtext import buffers, mix, slices
-from trawl.llm.exchange import by_slot, gathered, n_slots, slot_of, stored
+from trawl.llm.arrowtext import buffers, mix, slices, trimmed
+from trawl.llm.exchange import by_slot, gathered, n_slots, slot_of, stored, tuned
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -23,7 +23,7 @@ DEVIATIONS = 12.0
 LEAST_DEVIATION = 0.05
 LENGTH_CLASSES = (0, 100, 1000)
 #: Text whose grams are held at a time (or one longer text's): some hundred bytes of arrays a character.
-GRAM_BYTES = 1 << 18
+GRAM_BYTES = 1 << 17
 
 _SYMBOLS = np.zeros(1 << 16, dtype=bool)
 _SYMBOLS[:128] = [not chr(c).isalpha() for c in range(128)]
@@ -64,6 +64,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield i, j, grams[own], sizes
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -236,6 +237,7 @@ _ROW = "doc_id long, predicted string, bits double, margin double, n_chars long,
 def _scored_by_broadcast(rows: DataFrame, model: Model | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array(model.languages if model else [""], dtype=object)
@@ -271,12 +273,14 @@ def _scored_by_slot(rows: DataFrame, counts: DataFrame) -> DataFrame:
     pairs = spark.sparkContext.broadcast(_by_language(tails.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count("*").alias("n")).toArrow()))
     names = sorted(pairs.value)
 
+    @trimmed
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(1).to_numpy().view(np.uint64)
             slot = slot_of(_middle(grams), slots)
             yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns], names=["slot", "lang", "gram", "n"])
 
+    @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column(2).to_numpy()
@@ -285,6 +289,7 @@ def _scored_by_slot(rows: DataFrame, counts: DataFrame) -> DataFrame:
                     order = np.argsort(grams, kind="stable")
                     yield by_slot(slot_of(_middle(grams), slots)[order], slots, [grams[order], np.repeat(hashes[i:j], sizes)[order]], ["grams", "refs"])
 
+    @trimmed
     def score(counts: pa.Table, texts: pa.Table) -> pa.Table:
         grams, refs = gathered(texts, "grams", np.uint64), gathered(texts, "refs", np.int64)
         refs, at = np.unique(refs, return_inverse=True)
@@ -297,11 +302,13 @@ def _scored_by_slot(rows: DataFrame, counts: DataFrame) -> DataFrame:
                     columns[k] += np.bincount(at[lo : lo + GRAM_BYTES], weights=logs[:, k], minlength=len(refs))
         return pa.table({"text_hash": pa.array(refs), "n": pa.array(np.bincount(at, minlength=len(refs)).astype(np.int64)), **{f"l{k}": pa.array(c) for k, c in enumerate(columns)}})
 
+    @trimmed
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, grams, n in _grams(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(_has_letters(grams, n))], names=["doc_id", "text_hash", "n_chars", "ok"])
 
+    @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = batch.column(3).to_numpy(zero_copy_only=False)
@@ -336,7 +343,7 @@ def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     Every counted gram is in the model, at every size. Models of at most 64 MB go to all tasks;
     beyond that the texts' grams meet their part of the model in slots, with the same result.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
+    rows = tuned(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
     counts = counted(docs, text, lang)
     n_languages, n_grams = counts.agg(F.count_distinct("lang"), F.count_distinct("gram")).first()
     # The highest order has most of a model's grams: a hash and a logarithm a language each.

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.arrowtext import BYTE_CODES, NEWLINE, Pieces, buffers, gram_hash, mix, pieces, slices
+from trawl.llm.arrowtext import BLOCK, NEWLINE, Pieces, buffers, gram_hash, mix, parts, slices, trimmed
 from trawl.llm.components import components
-from trawl.llm.exchange import by_slot, fresh, gathered, n_slots, slot_of, stored
+from trawl.llm.exchange import by_slot, fresh, gathered, n_slots, release, slot_of, stored, tuned
 
 #: Characters of a shingle, and the least Jaccard similarity of two lines' shingle sets.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -22,12 +22,15 @@ LEAST_CHARS = 20
 #: Lines of similarity 0.8 share a band with probability 0.99, of 0.3 with 0.011: what unrelated
 #: lines add to the candidates grows with the square of the corpus, so it must be small.
 BANDS, ROWS = 15, 6
-#: Of the 48 bits of a line's sketch, candidates of similarity 0.8 share 43.2 on average, and these with probability 0.999.
+#: Of the 48 bits of a long line's sketch, candidates of similarity 0.8 share 43.2 on average, and these with probability 0.999.
 SKETCH_BITS, SKETCH_SAME = 48, 36
+#: Lines of fewer shingles have a bitmap of their shingles in place of the sketch: sets differ in at
+#: least as many elements as their bitmaps in bits, so it rules out only what can't be similar.
+SHORT, SIZE_BITS = 100, 7
 #: Longer runs of one band are joined to their least line, in one pass, instead of pair by pair.
 PAIRWISE = 24
 #: Text that is verified in one group, about; lines that share a band with the same line stay together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Candidate lines whose ids take at most this many bytes are looked up from a broadcast array, others by a join.
 BROADCAST_BYTES = 16 << 20
 
@@ -70,67 +73,112 @@ def _line_hash(p: Pieces, which: np.ndarray) -> np.ndarray:
     return p.hashes[which].view(np.int64)
 
 
+def _sketches(sig: np.ndarray, shingles: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """A word a line: of short ones the number of shingles and a bitmap of them, of others zero and bits of the minima."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    size = np.bincount(line, minlength=n)
+    # One bit of each of 48 minima: equal minima give equal bits, others do half of the time.
+    out = ((sig[:, :SKETCH_BITS] * base >> np.uint64(63)) << np.arange(SKETCH_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    few = np.flatnonzero((size > 0) & (size < SHORT))
+    if len(few):
+        bit = np.uint64(1) << ((shingles >> np.uint64(32)) % np.uint64(64 - SIZE_BITS))
+        begin = np.cumsum(size) - size
+        bitmap = np.bitwise_or.reduceat(bit, np.minimum(begin, len(bit) - 1))
+        out[few] = (bitmap[few] << np.uint64(SIZE_BITS)) | size[few].astype(np.uint64)
+    out[size >= SHORT] <<= np.uint64(SIZE_BITS)
+    return out
+
+
+def _possible(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines with these sketches can be similar: for two short ones a bound, for two long ones with probability 0.999; a short and a long one always."""
+    low = np.uint64((1 << SIZE_BITS) - 1)
+    n, m = (a & low).astype(np.int64), (b & low).astype(np.int64)
+    apart = np.bitwise_count((a ^ b) >> np.uint64(SIZE_BITS))
+    short = (n > 0) & (m > 0)
+    most = np.where(short, (1 - similarity) / (1 + similarity) * (n + m) + 1e-9, SKETCH_BITS - SKETCH_SAME)
+    return (apart <= most) | ((n > 0) != (m > 0))
+
+
+#: Entries that a task gathers before it sends them, so that a slot's blobs hold many.
+_SENT = 600_000
+
+
 def _bands(slots: int):
+    @trimmed
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            key, refs, sketch = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            # Within a slot 32 bits of a key tell bands apart; in their order they pack to half of that.
+            slot, key = slot_of(key, slots), key.astype(np.uint32)
+            order = np.argsort(key)
+            return by_slot(slot[order], slots, [key[order], refs[order], sketch[order]], ["keys", "refs", "sketches"])
+
         for batch in batches:
-            for _, _, p in pieces(batch.column(0), NEWLINE, lower=True):
+            for _, _, p, _, _ in parts(batch.column(0), NEWLINE, lower=True):
                 which, shingles, line = _shingles(p)
                 sig = minhash(shingles, line, len(which))
-                base = np.uint64(0x9E3779B97F4A7C15)
                 key = np.zeros((len(which), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
-                    key = mix(key * base + sig[:, r::ROWS])
-                # One bit of each of 48 minima: equal minima give equal bits, others do half of the time.
-                bits = (sig[:, :SKETCH_BITS] * base >> np.uint64(63)) << np.arange(SKETCH_BITS, dtype=np.uint64)
-                key, refs, sketch = key.ravel(), np.repeat(_line_hash(p, which), BANDS), np.repeat(bits.sum(axis=1, dtype=np.uint64), BANDS)
-                # Within a slot 32 bits of a key tell bands apart; in their order they pack to half of that.
-                slot, key = slot_of(key, slots), key.astype(np.uint32)
-                order = np.argsort(key)
-                yield by_slot(slot[order], slots, [key[order], refs[order], sketch[order]], ["keys", "refs", "sketches"])
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
+                held.append((key.ravel(), np.repeat(_line_hash(p, which), BANDS), np.repeat(_sketches(sig, shingles, line, len(which)), BANDS)))
+                if sum(len(k) for k, _, _ in held) >= _SENT:
+                    yield sent()
+        if held:
+            yield sent()
 
     return bands
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """(head, line): lines that share a band and whose sketches allow for the similarity, by the least line they match.
-
-    Every such pair is together in the rows of some head: either both lines have the same least
-    match, or one is the other's, or the pair has a row of its own. Long runs go to their least
-    line as a whole. The head itself is one of its lines.
-    """
-    keys, refs, sketch = gathered(table, "keys", np.uint32), gathered(table, "refs", np.int64), gathered(table, "sketches", np.uint64)
-    order = np.argsort(keys)
-    keys, refs, sketch = keys[order], refs[order], sketch[order]
-    length = np.diff(np.append(_firsts(keys), len(keys)))
-    some = np.repeat(length > 1, length)
-    keys, refs, sketch = keys[some], refs[some], sketch[some]
-    order = np.lexsort((refs, keys))
-    keys, refs, sketch = keys[order], refs[order], sketch[order]
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
-    keys, refs, sketch = keys[fresh], refs[fresh], sketch[fresh]
-    start = _firsts(keys)
-    length = np.diff(np.append(start, len(keys)))
-    first, many = np.repeat(start, length), np.repeat(length > PAIRWISE, length)
-    long = np.flatnonzero(many & (first != np.arange(len(keys))))
-    at = np.flatnonzero(~many & np.repeat(length > 1, length))
-    own, bits, line = keys[at], sketch[at], refs[at]
-    x, y = [at[:0]], [at[:0]]
-    for d in range(1, PAIRWISE):
-        same = np.flatnonzero(own[d:] == own[:-d]) if len(own) > d else at[:0]
-        if not len(same):
-            break
-        same = same[np.bitwise_count(bits[same] ^ bits[same + d]) <= SKETCH_BITS - SKETCH_SAME]
-        x.append(same)
-        y.append(same + d)
-    x, y = np.concatenate(x), np.concatenate(y)
-    least = np.arange(len(at))
-    np.minimum.at(least, y, x)
-    needed = (least[y] == x) | (least[x] != least[y])
-    pairs = np.stack([np.concatenate([refs[first[long]], line[x[needed]]]), np.concatenate([refs[long], line[y[needed]]])], axis=1)
-    pairs = np.unique(pairs, axis=0)
-    heads = np.unique(pairs[:, 0])
-    return pa.table({"head": pa.array(np.concatenate([heads, pairs[:, 0]])), "line": pa.array(np.concatenate([heads, pairs[:, 1]]))})
+def _blocks(similarity: float):
+    @trimmed
+    def blocks(table: pa.Table) -> pa.Table:
+        """(head, line): lines that share a band and whose sketches allow for the similarity, by the least line they match.
+
+        Every such pair is together in the rows of some head: either both lines have the same least
+        match, or one is the other's, or the pair has a row of its own. Long runs go to their least
+        line as a whole. The head itself is one of its lines.
+        """
+        keys, refs, sketch = gathered(table, "keys", np.uint32), gathered(table, "refs", np.int64), gathered(table, "sketches", np.uint64)
+        order = np.argsort(keys)
+        keys, refs, sketch = keys[order], refs[order], sketch[order]
+        length = np.diff(np.append(_firsts(keys), len(keys)))
+        some = np.repeat(length > 1, length)
+        keys, refs, sketch = keys[some], refs[some], sketch[some]
+        order = np.lexsort((refs, keys))
+        keys, refs, sketch = keys[order], refs[order], sketch[order]
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
+        keys, refs, sketch = keys[fresh], refs[fresh], sketch[fresh]
+        start = _firsts(keys)
+        length = np.diff(np.append(start, len(keys)))
+        first, many = np.repeat(start, length), np.repeat(length > PAIRWISE, length)
+        long = np.flatnonzero(many & (first != np.arange(len(keys))))
+        at = np.flatnonzero(~many & np.repeat(length > 1, length)).astype(np.int32)
+        own, bits, line = keys[at], sketch[at], refs[at]
+        least = np.arange(len(at), dtype=np.int32)
+        x, y = [at[:0]], [at[:0]]
+        for d in range(1, PAIRWISE):
+            same = np.flatnonzero(own[d:] == own[:-d]).astype(np.int32) if len(own) > d else at[:0]
+            if not len(same):
+                break
+            same = same[_possible(bits[same], bits[same + d], similarity)]
+            np.minimum.at(least, same + d, same)
+            x.append(same)
+            y.append((same + d).astype(np.int32))
+        pairs = [np.stack([refs[first[long]], refs[long]], axis=1)]
+        for a, b in zip(x, y):  # distance by distance, so that only what is needed is held
+            needed = (least[b] == a) | (least[a] != least[b])
+            pairs.append(np.stack([line[a[needed]], line[b[needed]]], axis=1))
+        pairs = np.concatenate(pairs)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)]]
+        heads = pairs[_firsts(pairs[:, 0]), 0]
+        return pa.table({"head": pa.array(np.concatenate([heads, pairs[:, 0]])), "line": pa.array(np.concatenate([heads, pairs[:, 1]]))})
+
+    return blocks
 
 
 def _firsts(groups: np.ndarray) -> np.ndarray:
@@ -145,6 +193,7 @@ def _verify(similarity: float):
     line of its queue (or a new one) and compares it with all its lines that aren't reached yet.
     """
 
+    @trimmed
     def verify(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [("head", "ascending"), ("line", "ascending")]))
         heads, refs = table.column("head").to_numpy(), table.column("line").to_numpy()
@@ -153,7 +202,7 @@ def _verify(similarity: float):
         data, offsets = buffers(table.column("text"))
         bits = np.uint64(64 - max(1, int(block[-1] + 1 if len(block) else 1).bit_length()))
         keys, sizes = [], [np.zeros(0, np.int64)]
-        for i, j in slices(offsets, 1 << 19):
+        for i, j in slices(offsets, BLOCK):
             # The lower-cased line without its end: exactly what the hashes were taken of.
             p = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NEWLINE, with_hash=False)
             _, shingles, line = _shingles(p)
@@ -205,10 +254,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = np.sort(wanted.toArrow().column(0).to_numpy()) if few else np.zeros(0, np.int64)
     shared = spark.sparkContext.broadcast(ids)
 
+    @trimmed
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for batch in batches:
-            for _, _, p in pieces(batch.column(0), NEWLINE, lower=True):
+            for _, _, p, _, _ in parts(batch.column(0), NEWLINE, lower=True):
                 which = np.flatnonzero(p.chars() >= LEAST_CHARS)
                 line, first = np.unique(_line_hash(p, which), return_index=True)
                 which = which[first]
@@ -229,22 +279,26 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = n_slots(spark, size / 200 * BANDS)
-    found = docs.select("text").mapInArrow(_bands(slots), "slot long, keys binary, refs binary, sketches binary").groupBy("slot").applyInArrow(_blocks, "head long, line long")
+    found = docs.select("text").mapInArrow(_bands(slots), "slot long, keys binary, refs binary, sketches binary").groupBy("slot").applyInArrow(_blocks(similarity), "head long, line long")
     members = stored(found.distinct(), "members")
     texts = _texts(docs, members.select("line").distinct()).groupBy("line").agg(F.first("text").alias("text"))
     groups = n_slots(spark, 2 * size, GROUP_BYTES)
     verify = members.join(texts, "line").withColumn("slot", F.pmod(F.xxhash64("head"), F.lit(groups))).groupBy("slot").applyInArrow(_verify(similarity), "a long, b long")
-    return components(verify)
+    roots = components(verify)
+    release(members)
+    return roots
 
 
+@trimmed
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for i, _, p in pieces(batch.column(1), NEWLINE, lower=True):
+        ids, before = batch.column(0).to_numpy(), 0
+        for i, _, p, _, whole in parts(batch.column(1), NEWLINE, lower=True):
             which = np.flatnonzero(p.chars() >= LEAST_CHARS)
-            feeds = np.concatenate([[0], np.cumsum(p.data == 10)])
+            feeds = np.concatenate([[0], np.cumsum(p.data == 10, dtype=np.int32)])
             rows = p.rows[which]
-            yield pa.RecordBatch.from_arrays([pa.array(_line_hash(p, which)), pa.array(ids[i + rows]), pa.array(feeds[p.starts[which]] - feeds[p.offsets[rows]], pa.int32())], names=["line", "doc_id", "line_no"])
+            yield pa.RecordBatch.from_arrays([pa.array(_line_hash(p, which)), pa.array(ids[i + rows]), pa.array(before + feeds[p.starts[which]] - feeds[p.offsets[rows]], pa.int32())], names=["line", "doc_id", "line_no"])
+            before = 0 if whole else before + int(feeds[-1])  # lines of the parts of a long text are counted on
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -253,7 +307,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     Of each component of similar lines the first by (doc_id, line_no) is kept. line_no counts the
     pieces between line feeds from 0.
     """
-    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
+    known = tuned(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     roots = similar_lines(known, similarity)
     lines = known.mapInArrow(_occurrences, "line long, doc_id long, line_no int")
     lines = lines.join(roots, lines["line"] == roots["node"], "left").select(F.coalesce("root", "line").alias("root"), F.struct("doc_id", "line_no").alias("at"))
@@ -282,6 +336,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     kinds = docs.select(columns).schema
     at = columns.index(text)
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)

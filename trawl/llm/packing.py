@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.exchange import pack, stored, unpack
+from trawl.llm.arrowtext import trimmed
+from trawl.llm.exchange import stored, tuned
+from trawl.llm.tokens import Counter
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -19,11 +21,10 @@ CAPACITY = 2048
 FREE = 0.01
 #: Underfull bins that meet in one group of a merging round.
 GROUP_BINS = 200_000
-#: A round that leaves more than this share of its bins underfull ends the merging: the rest doesn't fit together.
-STALLED = 0.98
-
-#: Tokens are words (runs of letters, digits and underscores) and single other visible characters.
-TOKEN = r"\w+|[^\w\s]"
+#: Without a tokenizer, tokens are words (runs of letters, digits and underscores, of any script) and single other visible characters.
+TOKEN = r"(?U)\w+|[^\w\s]"
+#: The vocabulary of the queries.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 _PIECES = [("docs", np.int64), ("starts", np.int64), ("sizes", np.int64)]
 _BINS = "used long, full boolean, docs binary, starts binary, sizes binary"
@@ -69,6 +70,7 @@ def _rows(bins: np.ndarray, columns: list[np.ndarray], capacity: int, finished:
 
 
 def _local(capacity: int, finished: int):
+    @trimmed
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes = [], []
         for batch in batches:
@@ -95,6 +97,7 @@ def _local(capacity: int, finished: int):
 
 
 def _merge(capacity: int, finished: int):
+    @trimmed
     def merge(table: pa.Table) -> pa.Table:
         used = table.column("used").to_numpy()
         blobs = {n: table.column(n).to_pylist() for n, _ in _PIECES}
@@ -114,27 +117,23 @@ def _merge(capacity: int, finished: int):
 
 
 def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n): tokens of each document, counted on the JVM by TOKEN, or with the byte-level BPE ranks in the file `tokenizer`."""
-    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text <> ''")
+    """(doc_id, n): tokens of each document, of the byte-level BPE whose ranks are in the file `tokenizer`, or else by TOKEN."""
+    known = tuned(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text <> ''")
     if tokenizer is None:
         return known.select("doc_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("n"))
+    with open(tokenizer, "rb") as file:
+        ranks = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: some 1 MB
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-
-        import tiktoken
-
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        counter = Counter(ranks.value)
         for batch in batches:
-            n = [len(model.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter(batch.column(1)))], names=["doc_id", "n"])
 
     return known.mapInArrow(count, "doc_id long, n long")
 
 
+@trimmed
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of each bin, numbered by task and row; a bin's id needs nothing but a place in the stored table."""
     task, row = TaskContext.get().partitionId(), 0
@@ -160,11 +159,14 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id
     never cut. Every token of every document is in exactly one bin, and no bin exceeds its capacity.
 
     Each partition best-fits its own pieces, largest first. Bins with at most 1 % free are
-    finished. The others meet as items, some 200,000 in a group, and are best-fitted again; each
-    round needs fewer groups, until one is left or a round no longer joins bins (then the rest
-    cannot be filled further by best fit within groups, and is emitted as it is). Only numbers
-    travel, never texts, and each round is a table, so a lost executor repeats one round at most.
-
+    finished. The others meet as items, some 200,000 in a group, and are best-fitted again, until
+    one group is left. Best fit leaves at most one bin of a group half empty, and only half-empty
+    bins can join others: so a round needs all of those, and of the bins with the same room no more
+    than there are of those; the rest is finished, as it would stay as it is. Groups thus become
+    few at any size. Only numbers travel, never texts, and each round is a table, so a lost
+    executor repeats one round at most.
+
+    Tokens are those of a byte-level BPE, if its rank file is given, else words and single marks.
     Documents without tokens (null, empty or blank texts) are in no bin. Rows with a null doc_id are
     left out. Rows that repeat a doc_id are packed each. Equal sizes go in order of doc_id. An
     empty table gives no bins. Extra columns are ignored. Bin ids are unique but not consecutive.
@@ -173,16 +175,22 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id
         raise ValueError("capacity must be positive")
     finished = int(capacity * FREE)
     counted = token_counts(docs, text, doc_id, tokenizer).filter("n > 0")
-    bins = stored(counted.mapInArrow(_local(capacity, finished), _BINS), "bins")
-    done, left = [bins.filter("full")], bins.filter("not full")
-    n = left.count()
-    while n > 1:
-        groups = max(1, -(-n // group_bins))
-        key = F.pmod(F.xxhash64("docs", "starts"), F.lit(groups))
-        bins = stored(left.withColumn("slot", key).groupBy("slot").applyInArrow(_merge(capacity, finished), _BINS), "bins")
-        done, left = [*done, bins.filter("full")], bins.filter("not full")
-        before, n = n, left.count()
-        if groups == 1 or n > STALLED * before:
+    left = stored(counted.mapInArrow(_local(capacity, finished), _BINS), "bins")
+    done, small = [], 2 * F.col("used") <= capacity
+    while True:
+        done.append(left.filter("full"))
+        left = left.filter("not full")
+        n_small = left.filter(small).count()
+        if not n_small:
+            break
+        # Of the bins with equal room, as many as there are half-empty ones.
+        nth = F.row_number().over(Window.partitionBy("used").orderBy(F.xxhash64("docs", "starts")))
+        ranked = stored(left.withColumn("_keep", small | (nth <= n_small)), "residue")
+        done.append(ranked.filter("not _keep").drop("_keep"))
+        kept = ranked.filter("_keep").drop("_keep")
+        groups = max(1, min(-(-kept.count() // group_bins), n_small // 2))  # each round at least halves the half-empty ones
+        left = stored(kept.withColumn("slot", F.pmod(F.xxhash64("docs", "starts"), F.lit(groups))).groupBy("slot").applyInArrow(_merge(capacity, finished), _BINS), "bins")
+        if groups == 1:
             break
     out = left
     for d in done:

@@ -10,7 +10,7 @@ from trawl.llm.html import page_texts
 from trawl.llm.language import languages
 from trawl.llm.licenses import licenses
 from trawl.llm.lines import dedup_lines
-from trawl.llm.packing import packed
+from trawl.llm.packing import TOKENIZER, packed
 from trawl.llm.repetition import repetition
 from trawl.llm.simhash import near_duplicates
 from trawl.llm.substrings import passages
@@ -42,7 +42,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(_table(spark, sf_dir, "documents"))
+    return packed(_table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

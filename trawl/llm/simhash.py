@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.arrowtext import PUNCT, mix, pieces
+from trawl.llm.arrowtext import PUNCT, Pieces, parts, trimmed
 from trawl.llm.components import components
-from trawl.llm.exchange import by_slot, gathered, n_slots, pack, slot_of, stored, unpack
+from trawl.llm.exchange import by_slot, gathered, n_slots, pack, slot_of, stored, tuned, unpack
 
 BITS, SEGMENTS, SEGMENT_BITS = 256, 10, 24
 #: Orders of the bits in which signatures are cut. One finds 0.62 of the pairs 40 bits apart, three find 0.94.
@@ -33,19 +33,17 @@ _orders = [np.arange(BITS), *(_shuffled.permutation(BITS) for _ in range(ORDERS
 _signs = (np.random.default_rng(7).integers(0, 2, (DIMENSIONS, BITS)) * 2 - 1).astype(np.float32)
 
 
-def signatures(data_pieces, rows: int) -> np.ndarray:
-    """256-bit signatures, as four 64-bit integers, of a slice of texts; rows without words give zeros."""
-    p = data_pieces
-    out = np.zeros((rows, 4), dtype=np.uint64)
+def _projected(p: Pieces, rows: int) -> np.ndarray:
+    """Sums of the words' weights over DIMENSIONS, projected on the bits, of a slice of texts; parts of one text add up."""
+    out = np.zeros((rows, BITS), dtype=np.float64)
     weights = np.where(p.ends - p.starts >= LONG_WORD, 1.0, SHORT_WEIGHT) * np.where(p.hashes >> np.uint64(63), 1.0, -1.0)
     where = (p.hashes & np.uint64(DIMENSIONS - 1)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(p.counts)])
-    for i in range(0, rows, 256):
-        j = min(rows, i + 256)
+    for i in range(0, rows, 128):
+        j = min(rows, i + 128)
         own = slice(first[i], first[j])
         x = np.bincount((p.rows[own] - i) * DIMENSIONS + where[own], weights=weights[own], minlength=(j - i) * DIMENSIONS)
-        bits = x.astype(np.float32).reshape(j - i, DIMENSIONS) @ _signs > 0
-        out[i:j] = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+        out[i:j] = x.astype(np.float32).reshape(j - i, DIMENSIONS) @ _signs
     return out
 
 
@@ -68,23 +66,32 @@ def _variants(sig: np.ndarray) -> np.ndarray:
 def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, s0, s1, s2, s3): signatures of the documents that have words."""
 
+    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = np.zeros((1, BITS)), 0
         for batch in batches:
-            for i, j, p in pieces(batch.column(1), PUNCT, lower=True):
-                sig = signatures(p, j - i)
-                has = p.counts > 0
+            for i, j, p, _, whole in parts(batch.column(1), PUNCT, lower=True):
+                total, has = _projected(p, j - i), p.counts > 0
+                if not whole or words:  # a part of a long text
+                    held, words = held + total, words + len(p.hashes)
+                    if not whole:
+                        continue
+                    total, has = held, np.array([words > 0])
+                    held, words = np.zeros((1, BITS)), 0
+                sig = np.packbits(total > 0, axis=1).view(">u8").astype(np.uint64)
                 ids = batch.column(0).slice(i, j - i).filter(pa.array(has))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(sig[has, k].view(np.int64)) for k in range(4))], names=["doc_id", "s0", "s1", "s2", "s3"])
 
-    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
+    known = tuned(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     return known.mapInArrow(sign, "doc_id long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _index(slots: int, bit_order: np.ndarray):
+    @trimmed
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 4000):
-                batch = whole.slice(i, 4000)
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
                 sig = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(1, 5)], axis=1)
                 sig = _reordered(sig, bit_order)
                 keys = _variants(sig)
@@ -101,6 +108,7 @@ def _index(slots: int, bit_order: np.ndarray):
     return index
 
 
+@trimmed
 def _candidates(table: pa.Table) -> pa.Table:
     """Pairs (a, b) that share a variant and pass the check; long runs as one block of refs."""
     keys, refs, check = (gathered(table, n, d) for n, d in (("keys", np.uint32), ("refs", np.int64), ("checks", np.uint64)))
@@ -136,6 +144,7 @@ def _unblock(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _link(most: int):
     """Edges that join what is joined in each block by distances of at most `most`, by breadth-first search."""
 
+    @trimmed
     def link(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         refs = table.column("doc_id").to_numpy()

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.arrowtext import SPACE, gram_hash, mix, pieces, running
-from trawl.llm.exchange import by_slot, gathered, n_slots, slot_of, stored
+from trawl.llm.arrowtext import SPACE, gram_hash, mix, parts, running, trimmed
+from trawl.llm.exchange import by_slot, gathered, n_slots, slot_of, stored, tuned
 
 #: Words that a repeat has at least, and words of an anchor.
 LENGTH, ANCHOR = 50, 20
@@ -26,10 +26,11 @@ def _least_in_window(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _seeds(length: int, anchor: int, slots: int):
+    @trimmed
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for i, _, p in pieces(batch.column(1), SPACE, most=4 << 20):
+            for i, _, p, ahead, _ in parts(batch.column(1), SPACE, most=1 << 20, overlap=length - 1):
                 n = len(p.hashes) - length + 1
                 if n <= 0:
                     continue
@@ -40,7 +41,7 @@ def _seeds(length: int, anchor: int, slots: int):
                 least, stretch = least[at], gram_hash(p.hashes, length, total)[at]
                 first = np.concatenate([[0], np.cumsum(p.counts)])
                 rows = p.rows[at]
-                positions = (at - first[rows]).astype(np.int64)
+                positions = (ahead + at - first[rows]).astype(np.int64)
                 docs, hashes = ids[i + rows], texts[i + rows]
                 # A seed: consecutive stretches of a document with the same anchor.
                 new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])) if len(at) else at
@@ -60,6 +61,7 @@ def _blobs(slot, slots, anchors, docs, texts, positions, sizes, stretches) -> pa
     return out.append_column("stretches", pa.array([np.ascontiguousarray(stretches[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()))
 
 
+@trimmed
 def _matched(table: pa.Table) -> pa.Table:
     """Runs of stretches that documents share: consecutive ones of a text that the same places have.
 
@@ -111,7 +113,7 @@ def _runs(docs: DataFrame, length: int, anchor: int, text: str, doc_id: str) ->
     if not 0 < anchor <= length:
         raise ValueError("anchor must be between 1 and length")
     spark = docs.sparkSession
-    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
+    known = tuned(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     # A slot takes about two million stretches, and a stretch starts at most words: six bytes of text each.
     slots = n_slots(spark, (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6)
     seeds = known.withColumn("hash", F.xxhash64("text")).mapInArrow(_seeds(length, anchor, slots), "slot long, anchors binary, docs binary, texts binary, positions binary, sizes binary, stretches binary")
