@@ -346,3 +346,70 @@ def test_licence_edges(spark):
     assert len(out) == len(rows)
     assert {(r["doc_id"], r["license"]) for r in out} >= {(1, "MIT"), (None, "Proprietary"), (5, "MIT")}
     assert licenses.licenses(df.limit(0)).count() == 0
+
+
+def brute_licences(rows, similarity=licenses.SIMILARITY):
+    """Each text's best notice by cosines over dictionaries: (licence, cosine) or None."""
+    word = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", t.lower())
+    n, df = len(rows), Counter(w for *_, t in rows for w in set(word(t or "")))
+    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
+
+    def cosine(a, b):
+        dot = sum(a[w] * b[w] * idf(w) ** 2 for w in a)
+        return dot / math.sqrt(sum((c * idf(w)) ** 2 for w, c in a.items()) * sum((c * idf(w)) ** 2 for w, c in b.items())) if a else 0.0
+
+    counted = lambda t: Counter({w.partition(":")[0]: int(w.partition(":")[2] or 1) for w in t.split(" ")})
+    short = [(k, Counter(word(t))) for k, ts in licenses.TEMPLATES.items() for t in ts]
+    full = [(k, counted(t)) for k, t in licenses.TEXTS.items()] + [(k, Counter(word(" ".join(ts)))) for k, ts in licenses.MADE.items()]
+    out = {}
+    for d, _, t in rows:
+        t = t or ""
+        hint = re.compile(licenses.HINT, re.I)
+        if not hint.search(t):
+            out[d] = None
+            continue
+        if len(word(t)) >= licenses.LEAST_TEXT:
+            c, k = max((round(cosine(Counter(word(t)), b), 6), k) for k, b in full)
+            if c >= licenses.WHOLE_SIMILARITY:
+                out[d] = (k, c)
+                continue
+        lines, best = t.split("\n"), None
+        block = [sum(not x.strip() for x in lines[: i + 1]) for i in range(len(lines))]
+        for i, x in enumerate(lines):
+            if hint.search(x):
+                around = [y for j, y in enumerate(lines) if block[j] == block[i] and y.strip()] if x.strip() else [x]
+                for y in (x, x + " " + lines[i + 1] if i + 1 < len(lines) and lines[i + 1].strip() else x, " ".join(around)):
+                    top = max((round(cosine(Counter(word(y)), b), 6) for _, b in short), default=0)
+                    names = [k for k, b in short if round(cosine(Counter(word(y)), b), 6) == top]
+                    if top >= similarity and (best is None or top > best[1]):
+                        best = (min(names), top)
+        out[d] = best
+    return out
+
+
+def test_licences_of_the_table_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    rows = [(r["doc_id"], r["path"], r["text"]) for r in docs.collect()]
+    want = brute_licences(rows)
+    own = {r["doc_id"]: r for r in licenses.licenses(docs).filter("origin <> 'inherited'").collect()}
+    assert sum(w is not None for w in want.values()) > 3
+    for d, w in want.items():
+        if w:
+            assert own[d]["cosine"] == pytest.approx(w[1], abs=2e-6), d
+    assert {d for d, w in want.items() if w} == {d for d, r in own.items() if r["license"]}
+
+
+def test_full_texts_and_a_tree_of_paths(spark):
+    rng = np.random.default_rng(3)
+    full = lambda name: " ".join(w.partition(":")[0] for w in licenses.TEXTS[name].split(" ") for _ in range(int(w.partition(":")[2] or 1)))
+    shuffled = lambda name: "\n".join(" ".join(rng.permutation(full(name).split(" "))[k::40]) for k in range(40))
+    parts = ["a", "b", "c"]
+    dirs = sorted({"/".join(rng.choice(parts, k)) for k in rng.integers(0, 5, 60)})
+    held = {d: name for d, name in zip(rng.permutation(dirs)[:8].tolist(), rng.permutation(list(licenses.TEXTS)).tolist())}
+    rows = [(i, f"{d}/f.py".lstrip("/"), "x = 1") for i, d in enumerate(dirs)] + [(1000 + i, f"{d}/about.txt".lstrip("/"), shuffled(name)) for i, (d, name) in enumerate(held.items())]
+    out = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.licenses(files(spark, rows)).collect()}
+    for i, d in enumerate(dirs):
+        ups = ["/".join(d.split("/")[:k]) if k else "" for k in range(len(d.split("/")), -1, -1)] if d else [""]
+        near = next((u for u in ups if u in held), None)
+        assert out[i] == ((held[near], "inherited") if near is not None else (None, "none")), d
+    assert all(out[1000 + i] == (name, "file") for i, name in enumerate(held.values()))

@@ -108,6 +108,19 @@ def test_language_models_keep_rare_grams_of_large_corpora(spark):
     assert np.isin(language.mix(grams), model.tables[language.ORDER][0]).all()
 
 
+def test_long_texts_have_the_same_grams_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcé ßÄ,. \n1漢"), n)) for n in (0, 1, 5, 900, 4000)] + [None]
+    whole = [(sizes, grams) for *_, grams, sizes in language._grams(pa.array(texts))]
+    monkeypatch.setattr(language, "GRAM_BYTES", 100)
+    sums, grams = np.zeros(len(texts), int), []
+    for i, j, g, sizes in language._grams(pa.array(texts)):
+        sums[i:j] += sizes
+        grams.append(g)
+    assert sums.tolist() == np.concatenate([s for s, _ in whole]).tolist()
+    assert np.concatenate(grams).tolist() == np.concatenate([g for _, g in whole]).tolist()
+
+
 def test_language_in_slots_gives_what_the_broadcast_gives(spark, docs):
     odd_docs, _ = odd(spark)
     some = docs.select("doc_id", "text", "lang").unionAll(odd_docs.select("doc_id", "text", "lang"))

@@ -13,13 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.exchange import stored
+from trawl.llm.arrowtext import trimmed
+from trawl.llm.exchange import stored, tuned
 from trawl.llm.urls import host
 
 #: A subtree is a template if it is on at least this many different pages of its host. No share of them is
 #: asked for: on a large host that would keep the templates of its sections.
 LEAST_PAGES, LEAST_SHARE = 3, 0.0
-#: Templates whose keys take at most this many bytes are shipped to every task, others joined by host.
+#: Templates whose keys take at most this many bytes are shipped to every task, others joined by host and subtree.
 BROADCAST_BYTES = 64 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -138,20 +139,24 @@ class Page:
 
     def text(self, templates: frozenset | set | None = None) -> tuple[str, int, int]:
         """Text without the largest subtrees among the templates, how many were deleted, and their visible characters."""
-        chunks, deleted, chars = self.chunks, 0, 0
-        if templates:
-            chunks, at = [], 0
-            # Outer elements come first, so what lies inside a deleted one is skipped.
-            for first, end, digest in sorted(self.elements, key=lambda e: (e[0], -e[1])):
-                if first >= at and digest in templates:
-                    chunks += self.chunks[at:first]
-                    chunks.append("\n")
-                    chars += sum(len(c) for c in self.chunks[first:end] if c != "\n")
-                    deleted += 1
-                    at = end
-            chunks += self.chunks[at:]
-        lines = (_SPACES.sub(" ", x).strip() for x in "".join(chunks).split("\n"))
-        return "\n".join(x for x in lines if x), deleted, chars
+        return text_of(self.chunks, self.elements, templates)
+
+
+def text_of(chunks: list[str], elements: list[tuple[int, int, int]], templates: frozenset | set | None = None) -> tuple[str, int, int]:
+    """The same of a page's chunks and elements."""
+    kept, deleted, chars, at = [], 0, 0, 0
+    if templates:
+        # Outer elements come first, so what lies inside a deleted one is skipped.
+        for first, end, digest in sorted((e for e in elements if e[2] in templates), key=lambda e: (e[0], -e[1])):
+            if first >= at:
+                kept += chunks[at:first]
+                kept.append("\n")
+                chars += sum(len(c) for c in chunks[first:end] if c != "\n")
+                deleted += 1
+                at = end
+    kept += chunks[at:]
+    lines = (_SPACES.sub(" ", x).strip() for x in "".join(kept).split("\n"))
+    return "\n".join(x for x in lines if x), deleted, chars
 
 
 def _salted(hosts: np.ndarray, digests: np.ndarray) -> np.ndarray:
@@ -160,53 +165,78 @@ def _salted(hosts: np.ndarray, digests: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) ^ digests
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A page as it is read: its chunks between NULs, and each element's first and last chunk and digest.
+_READ = "row long, page_id long, host string, key long, root long, chunks string, firsts array<int>, ends array<int>, digests array<long>"
+
+
+@trimmed
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists = pa.list_(pa.int32())
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            pages = [Page(h) for h in part.column(1).to_pylist()]
-            found = [np.unique(np.array([e[2] for e in p.elements], dtype=np.uint64)) for p in pages]
-            roots = np.array([p.root for p in pages], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(roots.view(np.int64)), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            pages = [None if h is None else Page(h.replace("\0", "\ufffd")) for h in part.column(4).to_pylist()]
+            roots = pa.array([None if p is None else p.root - (1 << 64 if p.root >> 63 else 0) for p in pages], pa.int64())
+            elements = [np.array(p.elements if p else [], dtype=object).reshape(-1, 3) for p in pages]
+            digests = [e[:, 2].astype(np.uint64).view(np.int64) for e in elements]
+            columns = [roots, pa.array([p and "\0".join(p.chunks) for p in pages], pa.string()), pa.array([e[:, 0].astype(np.int32) for e in elements], lists), pa.array([e[:, 1].astype(np.int32) for e in elements], lists), pa.array(digests, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["row", "page_id", "host", "key", "root", "chunks", "firsts", "ends", "digests"])
+
+
+def _pages(pages: DataFrame, url: str, html: str, page_id: str | None) -> DataFrame:
+    """The pages, each read once, as a table of their visible text and the digests of their elements."""
+    h = host(F.col(url).cast("string"))
+    own = F.col(page_id).cast("long") if page_id else F.lit(None).cast("long")
+    rows = tuned(pages).select(F.monotonically_increasing_id().alias("row"), own.alias("page_id"), h.alias("host"), F.xxhash64(h).alias("key"), F.col(html).cast("string").alias("html"))
+    return stored(rows.mapInArrow(_read, _READ), "pages")
+
+
+def _counted(read: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    known = read.filter("host is not null and root is not null and chunks <> ''").select(F.col("key").alias("host"), F.col("root").alias("page"), "digests")
+    # Pages of a host with the same content count as one; only their hashes are compared.
+    seen = known.select("host", "page", F.explode(F.array_distinct("digests")).alias("subtree")).distinct()
+    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    total = known.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    return counts.join(total, "host").filter(F.col("n") >= F.col("pages") * least_share).select("host", "subtree", "n", "pages")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, url: str = "url", html: str = "html") -> DataFrame:
     """(host, subtree, n, pages): by the hash of a host, the subtrees on many of its different pages.
 
-    Pages of a host with the same content count as one. Tasks send 8 bytes a subtree.
+    Pages of a host with the same content count as one. Tasks send hashes only.
     """
-    rows = pages.select(F.xxhash64(host(F.col(url).cast("string"))).alias("host"), F.col(html).cast("string").alias("html"), host(F.col(url).cast("string")).alias("_h")).filter("_h is not null and html <> ''").drop("_h")
-    seen = stored(rows.mapInArrow(_subtrees, "host long, page long, subtrees array<long>").groupBy("host", "page").agg(F.first("subtrees").alias("subtrees")), "subtrees")
-    total = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    return counts.join(total, "host").filter(F.col("n") >= F.col("pages") * least_share).select("host", "subtree", "n", "pages")
+    return _counted(_pages(pages, url, html, None), least_pages, least_share)
 
 
-def _texts(keys: np.ndarray | None, shared=None):
+def _texts(shared=None):
+    """The pages' texts, without templates that are looked up in sorted keys, or given with each page."""
+
+    @trimmed
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value if shared is not None else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                hosts = part.column(2).to_numpy().view(np.uint64)
-                given = part.column(4).to_pylist() if own is None else None
-                out = []
-                for i, raw in enumerate(part.column(3).to_pylist()):
-                    if raw is None:
-                        out.append((None, 0, 0))
-                        continue
-                    page = Page(raw)
-                    digests = np.array([e[2] for e in page.elements], dtype=np.uint64)
-                    if own is None:
-                        hit = set(np.array(given[i] or [], dtype=np.int64).view(np.uint64).tolist())
-                    elif len(own) and len(digests):
-                        key = _salted(hosts[i : i + 1], digests)
-                        hit = set(digests[own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key].tolist())
-                    else:
-                        hit = set()
-                    out.append(page.text(hit))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["page_id", "host", "text", "deleted", "deleted_chars"])
+            hosts = batch.column(2).fill_null(0).to_numpy().view(np.uint64)
+            known = batch.column(1).is_valid().to_pylist()
+            digests, offsets = batch.column(6).flatten().to_numpy().view(np.uint64), batch.column(6).offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            if own is not None and len(own) and len(digests):
+                key = _salted(np.repeat(hosts, np.diff(offsets)), digests)
+                hit = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+            else:
+                hit = np.zeros(len(digests), bool)
+            given = batch.column(7).to_pylist() if own is None else None
+            firsts, ends = (batch.column(k).flatten().to_numpy() for k in (4, 5))
+            out = []
+            for i, chunks in enumerate(batch.column(3).to_pylist()):
+                if chunks is None:
+                    out.append((None, 0, 0))
+                    continue
+                at = slice(offsets[i], offsets[i + 1])
+                wanted = set(digests[at][hit[at]].tolist()) if given is None else set(np.array(given[i] or [], dtype=np.int64).view(np.uint64).tolist())
+                elements = list(zip(firsts[at].tolist(), ends[at].tolist(), digests[at].tolist())) if wanted and known[i] else []
+                out.append(text_of(chunks.split("\0"), elements, wanted if known[i] else None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64()))] if out else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "host", "text", "deleted", "deleted_chars"])
 
     return texts
 
@@ -225,19 +255,23 @@ def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     empty text. A page whose URL is null or has no host has no site, so nothing is deleted. Rows
     are judged one by one, also repeated ones and those with a null page_id; an empty table gives
     an empty result. Extra columns are ignored. Broken markup is read leniently, and never fails.
+    A page of any length is read whole, in memory of some times its size.
 
-    Two map passes over the pages; hashes of 8 bytes are shuffled between them, never html. The
-    templates' keys go to all tasks if they take at most 64 MB; beyond that each page meets its
-    host's templates in a join, with the same result.
+    Every page is read once; its visible text and its elements' digests are a table. Digests are
+    counted by host and subtree, so a large host's are spread over all tasks, and html is never
+    shuffled. The templates' keys go to all tasks if they take at most 64 MB; beyond that the
+    pages' digests are joined with them, digest by digest, and each page gets those it has, with
+    the same result.
     """
     spark = pages.sparkSession
-    found = stored(templates(pages, least_pages, least_share, url, html), "templates")
-    h = host(F.col(url).cast("string"))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), h.alias("host"), F.when(h.isNotNull(), F.xxhash64(h)).otherwise(F.lit(0)).cast("long").alias("_key"), F.col(html).cast("string").alias("html"))
+    read = _pages(pages, url, html, page_id)
+    found = stored(_counted(read, least_pages, least_share), "templates")
     schema = "page_id long, host string, text string, deleted int, deleted_chars long"
+    columns = ["page_id", "host", "key", "chunks", "firsts", "ends", "digests"]
     if 16 * found.count() <= broadcast_bytes:
         table = found.select("host", "subtree").toArrow()
         keys = np.sort(_salted(table.column("host").to_numpy().view(np.uint64), table.column("subtree").to_numpy().view(np.uint64)))
-        return rows.mapInArrow(_texts(None, spark.sparkContext.broadcast(keys)), schema)
-    by_host = found.groupBy(F.col("host").alias("_key")).agg(F.collect_list("subtree").alias("_templates"))
-    return rows.join(by_host, "_key", "left").select("page_id", "host", "_key", "html", "_templates").mapInArrow(_texts(None), schema)
+        return read.select(columns).mapInArrow(_texts(spark.sparkContext.broadcast(keys)), schema)
+    each = read.filter("host is not null").select("row", F.col("key").alias("host"), F.explode(F.array_distinct("digests")).alias("subtree"))
+    own = each.join(found.select("host", "subtree"), ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_list("subtree").alias("_templates"))
+    return read.join(own, "row", "left").select(*columns, "_templates").mapInArrow(_texts(), schema)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.arrowtext import buffers, mix, slices, trimmed
@@ -18,7 +18,7 @@ DISCOUNT = 0.75
 #: Models that take at most this many bytes are shipped to every task; grams meet larger ones in slots.
 BROADCAST_BYTES = 64 << 20
 #: A document is rejected beyond this many deviations (of its length class) above its language's median.
-DEVIATIONS = 12.0
+DEVIATIONS = 8.0
 #: Deviations are never taken as less than this many bits a character.
 LEAST_DEVIATION = 0.05
 LENGTH_CLASSES = (0, 100, 1000)
@@ -33,35 +33,66 @@ _SYMBOLS[1] = False
 _START, _SPACE = 1, 32
 
 
-def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each slice: first row, end row, packed grams of ORDER characters, and how many each row has.
+def _normal(codes: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters with each run of other than letters as one space, the first `kept` as they are; and which ones stay."""
+    codes = np.minimum(codes, 0xFFFF)
+    blank = _SYMBOLS[codes]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    keep[:kept] = True
+    return np.where(blank, _SPACE, codes)[keep].astype(np.uint64), keep
+
+
+def _packed(codes: np.ndarray) -> np.ndarray:
+    n = len(codes) - ORDER + 1
+    grams = codes[:n].copy() if n > 0 else codes[:0]
+    for k in range(1, ORDER):
+        grams <<= np.uint64(16)
+        grams |= codes[k : n + k] if n > 0 else codes[:0]
+    return grams
+
+
+def _decoded(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+
+
+def _gram_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """For each slice: first row, end row, packed grams of ORDER characters, how many each row has, and whether the last row ends here.
 
     Letters are lower-cased; every run of other characters is one space. Each text is led by
-    ORDER - 1 start marks, so a text of n (remaining) characters has n grams.
+    ORDER - 1 start marks, so a text of n (remaining) characters has n grams. A text longer than
+    two slices comes in parts that give the same grams.
     """
     marks = chr(_START) * (ORDER - 1)
-    data, offsets = buffers(pc.binary_join_element_wise(pa.scalar(marks, pa.large_string()), pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), ""), pa.scalar("", pa.large_string())))
-    for i, j in slices(offsets, GRAM_BYTES):
-        part = data[offsets[i] : offsets[j]]
-        first = np.cumsum(np.concatenate([[0], (part & 0xC0) != 0x80]))[offsets[i : j + 1] - offsets[i]]
-        codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-        codes = np.minimum(codes, 0xFFFF)
-        blank = _SYMBOLS[codes]
-        keep = ~blank
-        keep[1:] |= ~blank[:-1]
-        codes = np.where(blank, _SPACE, codes)[keep].astype(np.uint64)
+    raw, rough = buffers(column)
+    for i, j in slices(rough, GRAM_BYTES):
+        at, end = int(rough[i]), int(rough[j])
+        if j - i == 1 and end - at > 2 * GRAM_BYTES:
+            carry = np.full(ORDER - 1, _START, dtype=np.uint32)
+            while at < end:
+                to = min(end, at + GRAM_BYTES)
+                while to < end and raw[to] & 0xC0 == 0x80:
+                    to += 1
+                own, _ = buffers(pc.utf8_lower(pa.array([raw[at:to].tobytes()], pa.binary()).cast(pa.large_string())))
+                codes, _ = _normal(np.concatenate([carry, _decoded(own)]), ORDER - 1)
+                grams, carry, at = _packed(codes), codes[-(ORDER - 1) :].astype(np.uint32), to
+                yield i, j, grams, np.array([len(grams)]), at >= end
+            continue
+        own = pc.fill_null(pc.utf8_lower(column.slice(i, j - i).cast(pa.large_string())), "")
+        data, offsets = buffers(pc.binary_join_element_wise(pa.scalar(marks, pa.large_string()), own, pa.scalar("", pa.large_string())))
+        first = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))[offsets]
+        codes, keep = _normal(_decoded(data), 0)
         first = np.concatenate([[0], np.cumsum(keep)])[first]
-        n = len(codes) - ORDER + 1
-        grams = codes[:n].copy() if n > 0 else codes[:0]
-        for k in range(1, ORDER):
-            grams <<= np.uint64(16)
-            grams |= codes[k : n + k] if n > 0 else codes[:0]
-        sizes = np.diff(first) - (ORDER - 1)
-        own = np.ones(max(n, 0), dtype=bool)
+        grams = _packed(codes)
+        inside = np.ones(len(grams), dtype=bool)
         for k in range(ORDER - 1):
             cut = first[1:-1] - 1 - k
-            own[cut[(cut >= 0) & (cut < len(own))]] = False
-        yield i, j, grams[own], sizes
+            inside[cut[(cut >= 0) & (cut < len(inside))]] = False
+        yield i, j, grams[inside], np.diff(first) - (ORDER - 1), True
+
+
+def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    return (x[:4] for x in _gram_parts(column))
 
 
 @trimmed
@@ -185,9 +216,20 @@ class Model:
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): how often each gram of characters occurs in the labelled documents of a language."""
+    """(lang, half, gram, n): how often each gram of characters occurs in the labelled documents of a language, by the half of the corpus that a text's hash puts it in."""
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and lang <> '' and text <> ''")
-    return stored(known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    parts = [known.filter(_half(F.col("text")) == h).mapInArrow(_count, "lang string, gram long, n long").withColumn("half", F.lit(h)) for h in (0, 1)]
+    return stored(parts[0].unionAll(parts[1]).groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def _half(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(2), text), F.lit(2)).cast("int")
+
+
+def _others(counts: DataFrame, half: int) -> DataFrame:
+    """(lang, gram, n) of the other half, and of languages that it has no text of, of this one."""
+    there = [r["lang"] for r in counts.filter(F.col("half") != half).select("lang").distinct().collect()]  # a row a language
+    return counts.filter((F.col("half") != half) | ~F.col("lang").isin(there)).select("lang", "gram", "n")
 
 
 def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -207,7 +249,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rarest: float =
 
     Every counted gram is kept unless `rarest` is given: then those rarer than this share of their language's go.
     """
-    grams = counted(docs, text, lang)
+    grams = counted(docs, text, lang).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     if rarest > 0:
         least = grams.groupBy("lang").agg((F.sum("n") * rarest).alias("least"))
         grams = grams.join(F.broadcast(least), "lang").filter("n >= least")
@@ -240,17 +282,23 @@ def _scored_by_broadcast(rows: DataFrame, model: Model | None) -> DataFrame:
     @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array(model.languages if model else [""], dtype=object)
+        names, held = np.array(model.languages if model else [""], dtype=object), None
         for batch in batches:
-            for i, j, grams, sizes in _grams(batch.column(1)):
+            for i, j, grams, sizes, whole in _gram_parts(batch.column(1)):
                 ends = np.cumsum(sizes)
                 ok = _has_letters(grams, sizes) & (model is not None)
-                bits = np.full((j - i, len(names)), np.inf)
+                bits = np.zeros((j - i, len(names)))
                 if model is not None and len(grams):
                     logs = model.scores(grams)
                     for k in range(len(names)):
                         total = np.concatenate([[0], np.cumsum(logs[:, k], dtype=np.float64)])
-                        bits[:, k] = -(total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+                        bits[:, k] = -(total[ends] - total[ends - sizes])
+                if held is not None:  # parts of one text add up
+                    bits, sizes, ok = bits + held[0], sizes + held[1], ok | held[2]
+                held = None if whole else (bits, sizes, ok)
+                if not whole:
+                    continue
+                bits = np.where(ok[:, None], bits / np.maximum(sizes, 1)[:, None], np.inf)
                 best, least, margin = _judged(bits, names)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(best, pa.string(), mask=~ok), pa.array(least, mask=~ok), pa.array(margin, mask=~ok), pa.array(sizes.astype(np.int64)), batch.column(2).slice(i, j - i)],
@@ -304,9 +352,15 @@ def _scored_by_slot(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
     @trimmed
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for i, j, grams, n in _grams(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(_has_letters(grams, n))], names=["doc_id", "text_hash", "n_chars", "ok"])
+            for i, j, grams, n, whole in _gram_parts(batch.column(1)):
+                ok = _has_letters(grams, n)
+                if held is not None:
+                    n, ok = n + held[0], ok | held[1]
+                held = None if whole else (n, ok)
+                if whole:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ok)], names=["doc_id", "text_hash", "n_chars", "ok"])
 
     @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +385,9 @@ def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     Kneser-Ney over 4 characters, kept as sorted arrays of gram hashes. `predicted` has the lowest
     cross-entropy in bits a character, `bits`; `margin` is how much more the next language takes.
     A text is rejected if its bits exceed the median of its language and length class by more than
-    DEVIATIONS times the median absolute deviation: the bounds are calibrated over all documents
-    predicted for the class, so ordinary texts of any length stay and only noise goes.
+    DEVIATIONS times the median absolute deviation. Texts are halved by their hash, and each is
+    judged by the model of the other half (a language that half lacks by its own), so bounds are
+    calibrated on texts that the models haven't seen, and a text can't vouch for itself.
 
     A null or empty text, or one without letters, has no prediction and is rejected. If no document
     has a label, nothing can be predicted and everything is rejected. Equal cross-entropies go to
@@ -340,15 +395,19 @@ def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     repeated, and equal texts are judged alike, so `text_hash` (Spark's xxhash64) finds the rows a
     judgement is about. Extra columns are ignored.
 
-    Every counted gram is in the model, at every size. Models of at most 64 MB go to all tasks;
+    Texts of any length are read whole, in parts of bounded memory. An empty table gives an empty result. Every counted gram is in the model, at every size. Models of at most 64 MB go to all tasks;
     beyond that the texts' grams meet their part of the model in slots, with the same result.
     """
     rows = tuned(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
-    counts = counted(docs, text, lang)
-    n_languages, n_grams = counts.agg(F.count_distinct("lang"), F.count_distinct("gram")).first()
-    # The highest order has most of a model's grams: a hash and a logarithm a language each.
-    small = n_grams * (8 + 4 * n_languages) <= broadcast_bytes or not n_grams
-    scored = stored(_scored_by_broadcast(rows, _model(counts)) if small else _scored_by_slot(rows, counts), "languages")
+    counts, scored = counted(docs, text, lang), None
+    half = F.coalesce(_half(F.col("text")), F.lit(0))
+    for h in (0, 1):
+        own, grams = rows.filter(half == h), _others(counts, h)
+        n_languages, n_grams = grams.agg(F.count_distinct("lang"), F.count_distinct("gram")).first()
+        # The highest order has most of a model's grams: a hash and a logarithm a language each.
+        small = n_grams * (8 + 4 * n_languages) <= broadcast_bytes or not n_grams
+        part = stored(_scored_by_broadcast(own, _model(grams)) if small else _scored_by_slot(own, grams), "languages")
+        scored = part if scored is None else scored.unionAll(part)
     scored = scored.withColumn("_class", sum((F.col("n_chars") >= x).cast("int") for x in LENGTH_CLASSES))
     group = ["predicted", "_class"]
     middle = scored.filter("predicted is not null").groupBy(*group).agg(F.percentile_approx("bits", 0.5, 10000).alias("_mid"))

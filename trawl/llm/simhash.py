@@ -14,8 +14,8 @@ from trawl.llm.components import components
 from trawl.llm.exchange import by_slot, gathered, n_slots, pack, slot_of, stored, tuned, unpack
 
 BITS, SEGMENTS, SEGMENT_BITS = 256, 10, 24
-#: Orders of the bits in which signatures are cut. One finds 0.62 of the pairs 40 bits apart, three find 0.94.
-ORDERS = 3
+#: Orders of the bits in which signatures are cut. One finds 0.62 of the pairs 40 bits apart, five find 0.99.
+ORDERS = 5
 #: Documents at most this many of the 256 bits apart are near duplicates.
 DISTANCE = 40
 #: Words are hashed with a sign into this many dimensions before the projection.
@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     """(doc_id, group_id, keep): groups of near-duplicate documents; the least doc_id of each stays.
 
     A 256-bit SimHash of the lower-cased words (tf-weighted; words under four bytes at a
-    twentieth) is cut into ten segments of 24 bits, in three orders of its bits. Signatures at
+    twentieth) is cut into ten segments of 24 bits, in five orders of its bits. Signatures at
     distance d have a segment that differs by at most one bit whenever d <= 19; for flips at random
-    places the probability is 0.99 at 36 bits and 0.94 at the distance of 40, where unrelated texts start at about 100. Each signature is indexed under the 240 variants
+    places the probability is 0.99 at the distance of 40, where unrelated texts start at about 100. Each signature is indexed under the 240 variants
     of each order that delete one bit of one segment; equal variants meet, a 48-bit check thins chance
     encounters, and all 256 bits decide. Equal signatures are collapsed beforehand, and groups are
     connected components of the verified pairs, so a group of any size costs work in proportion.
