@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 19
 #: Bytes that are hashed at a time, eight bytes of arrays each; and powers that a worker keeps.
 BLOCK, KEPT_POWERS = 1 << 17, 1 << 18
+_SCAN = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,19 +134,22 @@ class Pieces:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, with_hash: bool = True):
         self.data, self.offsets = data, offsets
         self.n_rows = len(offsets) - 1
-        n = len(data)
-        inside = ~separators[data]
-        border = np.zeros(n + 1, dtype=bool)
-        border[offsets] = True
-        before = np.empty(n, dtype=bool)
-        after = np.empty(n, dtype=bool)
-        if n:
-            before[0] = False
-            before[1:] = inside[:-1]
-            after[-1] = False
-            after[:-1] = inside[1:]
-        self.starts = np.flatnonzero(inside & (~before | border[:-1]))
-        self.ends = np.flatnonzero(inside & (~after | border[1:])) + 1
+        starts, ends, n, last = [], [], len(data), False
+        for a in range(0, n, _SCAN):  # whether each byte is inside a span is held for a block only
+            b = min(n, a + _SCAN)
+            edge = np.zeros(b - a + 1, dtype=bool)
+            at = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
+            edge[at] = True
+            inside = np.empty(b - a + 1, dtype=bool)
+            inside[:-1] = ~separators[data[a:b]]
+            inside[-1] = b < n and not separators[data[b]]
+            before = np.empty(b - a, dtype=bool)
+            before[0], before[1:] = last, inside[:-2]
+            last = bool(inside[-2])
+            starts.append(np.flatnonzero(inside[:-1] & (~before | edge[:-1])) + a)
+            ends.append(np.flatnonzero(inside[:-1] & (~inside[1:] | edge[1:])) + a + 1)
+        none = np.zeros(0, np.int64)
+        self.starts, self.ends = np.concatenate([none, *starts]), np.concatenate([none, *ends])
         self.counts = np.diff(np.searchsorted(self.starts, offsets))
         self.rows = np.repeat(np.arange(self.n_rows), self.counts)
         if with_hash:
@@ -153,9 +157,11 @@ class Pieces:
 
     def chars(self) -> np.ndarray:
         """Characters of each span, not bytes."""
-        total = np.zeros(len(self.data) + 1, dtype=np.int64)
-        np.cumsum((self.data & 0xC0) != 0x80, out=total[1:])
-        return total[self.ends] - total[self.starts]
+        if not len(self.starts):
+            return self.starts
+        leads = np.zeros(len(self.data) + 1, dtype=np.uint8)
+        np.not_equal(self.data & 0xC0, 0x80, out=leads[:-1].view(bool))
+        return np.add.reduceat(leads, np.stack([self.starts, self.ends], axis=1).ravel(), dtype=np.int64)[::2]
 
 
 def _lowered(column: pa.Array) -> pa.Array:
