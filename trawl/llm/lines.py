@@ -100,7 +100,7 @@ def _possible(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 #: Entries that a task gathers before it sends them, so that a slot's blobs hold many.
-_SENT = 600_000
+_SENT = 250_000
 
 
 def _bands(slots: int):
