@@ -60,8 +60,15 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 
 def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of a folder's files, without markers and checksums."""
     fs, p = _path(spark, path)
-    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+    if not fs.exists(p):
+        return 0
+    files, total = fs.listFiles(p, True), 0
+    while files.hasNext():
+        f = files.next()
+        total += 0 if f.getPath().getName()[0] in "._" else f.getLen()
+    return total
 
 
 def state(spark: SparkSession, path: str) -> str:
