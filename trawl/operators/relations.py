@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import to_base64
 from trawl.functions.variants import field_of, kind_of, object_of
+from trawl.sources.scratch import stored
 
 MAX_DEPTH = 5
 
@@ -73,6 +74,8 @@ def attach(page: DataFrame, targets: DataFrame, depth: int = 1) -> DataFrame:
     depth = max(0, min(MAX_DEPTH, depth))
     out = page
     for level in range(1, depth + 1):
+        if level > 1:  # the page so far is a table, or each level would be planned twice in the next
+            out = stored(out, "relations")
         ref = F.col("relation_ref") if level == 1 else F.col(f"_l{level - 1}.relation_ref")
         keys = out.select(ref["index"].alias("index"), ref["id"].alias("id"))
         found = looked_up(targets, keys).select(F.col("index").alias("_index"), F.col("id").alias("_id"), F.struct("index", "id", "ext_id", "raw", "relation_ref").alias(f"_l{level}"))
