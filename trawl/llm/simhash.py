@@ -22,9 +22,10 @@ DISTANCE = 40
 DIMENSIONS = 4096
 #: Words of fewer bytes say little about a document; they count, but little.
 LONG_WORD, SHORT_WEIGHT = 4, 0.05
-#: Of the 48 bits that travel with each variant, candidates differ in at most this many.
-#: For two documents DISTANCE apart that is 3.5 standard deviations above the mean of 7.5.
-CHECK_BITS, CHECK_DISTANCE = 48, 16
+#: Of the 64 bits that travel with each variant, candidates differ in at most this many.
+#: For two documents DISTANCE apart that is 3.7 standard deviations above the mean of 10; of chance
+#: encounters, whose number grows with the square of the corpus, it keeps under one in a hundred.
+CHECK_BITS, CHECK_DISTANCE = 64, 19
 #: Longer runs of one variant are joined as blocks, in one pass, instead of pair by pair.
 PAIRWISE = 24
 
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     twentieth) is cut into ten segments of 24 bits, in five orders of its bits. Signatures at
     distance d have a segment that differs by at most one bit whenever d <= 19; for flips at random
     places the probability is 0.99 at the distance of 40, where unrelated texts start at about 100. Each signature is indexed under the 240 variants
-    of each order that delete one bit of one segment; equal variants meet, a 48-bit check thins chance
+    of each order that delete one bit of one segment; equal variants meet, a 64-bit check thins chance
     encounters, and all 256 bits decide. Equal signatures are collapsed beforehand, and groups are
     connected components of the verified pairs, so a group of any size costs work in proportion.
 
