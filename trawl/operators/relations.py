@@ -74,8 +74,7 @@ def attach(page: DataFrame, targets: DataFrame, depth: int = 1) -> DataFrame:
     depth = max(0, min(MAX_DEPTH, depth))
     out = page
     for level in range(1, depth + 1):
-        if level > 1:  # the page so far is a table, or each level would be planned twice in the next
-            out = stored(out, "relations")
+        out = stored(out, "relations")  # the page so far, or each level would be planned twice in the next
         ref = F.col("relation_ref") if level == 1 else F.col(f"_l{level - 1}.relation_ref")
         keys = out.select(ref["index"].alias("index"), ref["id"].alias("id"))
         found = looked_up(targets, keys).select(F.col("index").alias("_index"), F.col("id").alias("_id"), F.struct("index", "id", "ext_id", "raw", "relation_ref").alias(f"_l{level}"))
@@ -218,7 +217,7 @@ def expand_documents(page: DataFrame, view: View, targets: DataFrame, prefix: st
     """
     out = page
     for name, child in view.relations.items():
-        out = out.withColumn("_ref", reference_in(field_of(F.try_parse_json("raw"), child.field_name), view.base, child.base))
+        out = stored(out.withColumn("_ref", reference_in(field_of(F.try_parse_json("raw"), child.field_name), view.base, child.base)), "relations")
         found = looked_up(targets.select("index", "doc_id", "ext_id", "raw", "images"), out.select("_ref.index", "_ref.id"))
         inner = expand_documents(found, child, targets, "_rel_") if child.relations else found
         parts = [F.col("index"), F.col("doc_id").alias("id"), F.col("ext_id").alias("doc_id"), chosen(F.col("raw"), child.select).alias("doc")]
