@@ -309,6 +309,21 @@ def test_lines_in_large_blocks(spark):
     assert got == joined == brute.repeated_lines(variants)
 
 
+def test_short_lines_meet_only_if_similar():
+    """Unrelated short lines share no band, so that candidates grow with the lines; similar ones do, nearly all."""
+    rng = np.random.default_rng(5)
+    parts = "th er on an re he in ed nd ha at en tion ing the and that was of to".split()
+    line = lambda n: "".join(rng.choice([*parts, " ", ". "], n))[:n]
+    alone = [line(n) for n in rng.integers(20, 110, 8000)]
+    pairs = [(x, x[:1] + "#" + x[2:]) for x in (line(n) for n in rng.integers(22, 60, 1000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join([*alone, *(x for pair in pairs for x in pair)])])], names=["text"])
+    table = pa.Table.from_batches(lines._bands(1)(iter([batch])))
+    met = lines._blocks(lines.SIMILARITY)(table)
+    near = sum(len(brute.shingles(a) & brute.shingles(b)) >= 0.8 * len(brute.shingles(a) | brute.shingles(b)) for a, b in pairs)
+    assert near > 900 and 0.99 * near <= len(met.column("head").unique()) <= 1.02 * len(pairs)
+    assert met.num_rows <= 2.05 * len(pairs)
+
+
 def test_lines_edges(spark):
     df, line = odd(spark)
     out = lines.dedup_lines(df).collect()

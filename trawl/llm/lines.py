@@ -22,6 +22,8 @@ LEAST_CHARS = 20
 #: Lines of similarity 0.8 share a band with probability 0.99, of 0.3 with 0.011: what unrelated
 #: lines add to the candidates grows with the square of the corpus, so it must be small.
 BANDS, ROWS = 15, 6
+#: Short lines are in further bands, of other six bins: their few shingles fill several bins, which makes bands alike (recall 0.996 with these).
+MORE_BANDS = 6
 #: Of the 48 bits of a long line's sketch, candidates of similarity 0.8 share 43.2 on average, and these with probability 0.999.
 SKETCH_BITS, SKETCH_SAME = 48, 36
 #: Lines of fewer shingles have a bitmap of their shingles in place of the sketch: sets differ in at
@@ -36,37 +38,56 @@ BROADCAST_BYTES = 16 << 20
 
 _BINS = BANDS * ROWS
 _MIXED = mix(np.arange(1, 0x10001, dtype=np.uint64))
+_order = np.random.default_rng(20240301)
+#: Where an empty bin looks for a value, try by try: anywhere, and at last in one bin after the other.
+_DONORS = np.concatenate([[_order.permutation(_BINS) for _ in range(48)], (np.arange(_BINS) + np.arange(1, _BINS)[:, None]) % _BINS])
+_MORE = np.stack([_order.permutation(_BINS)[:ROWS] for _ in range(MORE_BANDS)])
 
 
-def _shingles(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a slice's lines that are long enough: which they are, their shingle hashes, and each shingle's line (counted among them)."""
+def _shingles(p: Pieces, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a slice's lines that are long enough, and wanted: which they are, their shingle hashes, and each shingle's line (counted among them)."""
     chars = p.chars()
     long = chars >= LEAST_CHARS
-    codes = np.frombuffer(p.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    if wanted is not None:
+        long &= wanted
+    raw = p.data.tobytes()
+    codes = p.data if raw.isascii() else np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     codes = codes[codes != 10]
-    codes = codes[np.repeat(long, chars)].astype(np.uint64)
-    line = np.repeat(np.arange(int(long.sum())), chars[long])
+    codes = codes[np.repeat(long, chars)]
+    line = np.repeat(np.arange(int(long.sum()), dtype=np.int32), chars[long])
     n = max(0, len(codes) - SHINGLE + 1)
     inside = line[:n] == line[len(line) - n :]
-    mixed = np.take(_MIXED, np.minimum(codes, 0xFFFF).astype(np.int64))
-    rare = np.flatnonzero(codes > 0xFFFF)
-    mixed[rare] = mix(codes[rare] + np.uint64(1))
+    rare = np.flatnonzero(codes > 0xFFFF) if codes.itemsize > 1 else codes[:0]
+    mixed = _MIXED.take(np.minimum(codes, 0xFFFF) if len(rare) else codes)
+    if len(rare):
+        mixed[rare] = mix(codes[rare].astype(np.uint64) + np.uint64(1))
     return np.flatnonzero(long), gram_hash(mixed, SHINGLE)[inside], line[:n][inside]
 
 
 def minhash(shingles: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash of n lines: the least hash in each bin, empty bins filled from the next bin on the right."""
+    """One-permutation MinHash of n lines, a column each: the least hash in each bin.
+
+    An empty bin takes the value of the first bin that has one in an order of its own, the same for
+    all lines. Were it the next bin, a short line's bands would be made of one or two shingles, and
+    unrelated lines would share them.
+    """
     empty = np.uint64(1 << 63)
-    sig = np.full(n * _BINS, empty, dtype=np.uint64)
+    sig = np.full(_BINS * n, empty, dtype=np.uint64)
     bins = ((shingles >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
-    np.minimum.at(sig, line * _BINS + bins.astype(np.int64), shingles & np.uint64((1 << 40) - 1))
-    sig = sig.reshape(n, _BINS)
-    for _ in range(2):
-        for b in range(_BINS - 1, -1, -1):
-            bare = sig[:, b] >= empty
-            right = sig[:, (b + 1) % _BINS]
-            sig[:, b] = np.where(bare & (right < empty), right + np.uint64(0x9E3779B97F), sig[:, b])
-    return sig
+    np.minimum.at(sig, bins.astype(np.int64) * n + line, shingles & np.uint64((1 << 40) - 1))
+    bare = np.flatnonzero(sig >= empty)
+    filled = []
+    for donors in _DONORS:
+        if not len(bare):
+            break
+        b, k = np.divmod(bare, n)
+        value = sig[donors[b] * n + k]
+        found = value < empty
+        filled.append((bare[found], value[found]))
+        bare = bare[~found]
+    for at, value in filled:  # at the end, so that only bins with shingles of their own give
+        sig[at] = value
+    return sig.reshape(_BINS, n)
 
 
 def _line_hash(p: Pieces, which: np.ndarray) -> np.ndarray:
@@ -78,14 +99,14 @@ def _sketches(sig: np.ndarray, shingles: np.ndarray, line: np.ndarray, n: int) -
     base = np.uint64(0x9E3779B97F4A7C15)
     size = np.bincount(line, minlength=n)
     # One bit of each of 48 minima: equal minima give equal bits, others do half of the time.
-    out = ((sig[:, :SKETCH_BITS] * base >> np.uint64(63)) << np.arange(SKETCH_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    few = np.flatnonzero((size > 0) & (size < SHORT))
+    out, short = np.zeros(n, dtype=np.uint64), size < SHORT
+    many, few = np.flatnonzero(~short), np.flatnonzero(short & (size > 0))
+    bits = (sig[:SKETCH_BITS, many] * base >> np.uint64(63)) << np.arange(SKETCH_BITS, dtype=np.uint64)[:, None]
+    out[many] = np.bitwise_or.reduce(bits, axis=0) << np.uint64(SIZE_BITS)
     if len(few):
-        bit = np.uint64(1) << ((shingles >> np.uint64(32)) % np.uint64(64 - SIZE_BITS))
-        begin = np.cumsum(size) - size
-        bitmap = np.bitwise_or.reduceat(bit, np.minimum(begin, len(bit) - 1))
-        out[few] = (bitmap[few] << np.uint64(SIZE_BITS)) | size[few].astype(np.uint64)
-    out[size >= SHORT] <<= np.uint64(SIZE_BITS)
+        bit = np.uint64(1) << (((shingles[short[line]] >> np.uint64(32)) * np.uint64(64 - SIZE_BITS)) >> np.uint64(32))
+        bitmap = np.bitwise_or.reduceat(bit, np.cumsum(size[few]) - size[few])
+        out[few] = (bitmap << np.uint64(SIZE_BITS)) | size[few].astype(np.uint64)
     return out
 
 
@@ -100,13 +121,39 @@ def _possible(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 #: Entries that a task gathers before it sends them, so that a slot's blobs hold many.
-_SENT = 250_000
+_SENT = 500_000
+#: Entries of a slot, estimated; more in fewer slots, as the rows of blobs are lots times slots.
+_SLOT = 800_000
+#: Different lines that a task knows, so that it sends repeated ones once.
+_KNOWN = 200_000
+
+
+def _keys(sig: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands' keys and the lines that have them; short ones have more."""
+    n, base = sig.shape[1], np.uint64(0x9E3779B97F4A7C15)
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64), n).reshape(BANDS, n)
+    more = np.repeat(np.arange(BANDS, BANDS + MORE_BANDS, dtype=np.uint64), len(short)).reshape(MORE_BANDS, len(short))
+    few = sig[:, short]
+    for r in range(ROWS):
+        key = mix(key * base + sig[r::ROWS])
+        more = mix(more * base + few[_MORE[:, r]])
+    return np.concatenate([key.ravel(), more.ravel()]), np.concatenate([np.tile(np.arange(n), BANDS), np.tile(short, MORE_BANDS)])
 
 
 def _bands(slots: int):
     @trimmed
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        known: set[int] = set()
+
+        def new(lines: np.ndarray) -> np.ndarray:
+            out = np.ones(len(lines), dtype=bool)
+            for k, x in enumerate(lines.tolist()):
+                if x in known:
+                    out[k] = False
+                elif len(known) < _KNOWN:
+                    known.add(x)
+            return out
 
         def sent() -> pa.RecordBatch:
             key, refs, sketch = (np.concatenate(x) for x in zip(*held))
@@ -117,13 +164,14 @@ def _bands(slots: int):
             return by_slot(slot[order], slots, [key[order], refs[order], sketch[order]], ["keys", "refs", "sketches"])
 
         for batch in batches:
-            for _, _, p, _, _ in parts(batch.column(0), NEWLINE, lower=True):
-                which, shingles, line = _shingles(p)
+            for _, _, p, _, _ in parts(batch.column(0), NEWLINE, BLOCK, lower=True):
+                which, shingles, line = _shingles(p, new(p.hashes))
+                if not len(which):
+                    continue
                 sig = minhash(shingles, line, len(which))
-                key = np.zeros((len(which), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
-                held.append((key.ravel(), np.repeat(_line_hash(p, which), BANDS), np.repeat(_sketches(sig, shingles, line, len(which)), BANDS)))
+                sketch = _sketches(sig, shingles, line, len(which))
+                key, of = _keys(sig, np.flatnonzero(sketch & np.uint64((1 << SIZE_BITS) - 1)))
+                held.append((key, _line_hash(p, which)[of], sketch[of]))
                 if sum(len(k) for k, _, _ in held) >= _SENT:
                     yield sent()
         if held:
@@ -278,7 +326,7 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the lines, by hash, that are joined to another line by exact Jaccard similarities."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = n_slots(spark, size / 200 * BANDS)
+    slots = n_slots(spark, size / 200 * BANDS, _SLOT)
     found = docs.select("text").mapInArrow(_bands(slots), "slot long, keys binary, refs binary, sketches binary").groupBy("slot").applyInArrow(_blocks(similarity), "head long, line long")
     members = stored(found.distinct(), "members")
     texts = _texts(docs, members.select("line").distinct()).groupBy("line").agg(F.first("text").alias("text"))
