@@ -339,6 +339,17 @@ def test_documents_inherit_nothing(spark, tmp_path):
     assert {r["doc_id"]: r["license"] for r in queries.op10_licenses(spark, str(tmp_path)).collect()} == {1: "Proprietary", 2: None, None: "MIT", 3: None}
 
 
+def test_documents_with_paths_inherit_along_them(spark, tmp_path):
+    rows = [(1, "A.\nAll rights reserved.", "a/LICENSE"), (2, "no licence here", "a/b/x"), (3, "nor here", "c/x"), (4, "MIT License", "c/d/y")]
+    spark.createDataFrame(rows, "doc_id long, text string, path string").write.parquet(f"{tmp_path}/own/documents.parquet")
+    out = {r["doc_id"]: (r["license"], r["origin"], r["from_path"]) for r in queries.op10_licenses(spark, f"{tmp_path}/own").collect()}
+    assert out[2] == ("Proprietary", "inherited", "a/LICENSE") and out[3] == (None, "none", None)
+    # Without paths rows of one doc_id don't inherit from each other.
+    spark.createDataFrame([(1, "A.\nAll rights reserved."), (1, "no licence here")], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    bare = queries.op10_licenses(spark, f"{tmp_path}/none").collect()
+    assert sorted((r["license"] or "", r["origin"]) for r in bare) == [("", "none"), ("Proprietary", "file")]
+
+
 def test_licence_edges(spark):
     rows = [(1, None, "MIT License"), (2, "a/LICENSE", None), (3, "a/x", ""), (None, "a/y", "all rights reserved"), (4, "a/y", "x " * 200_000), (5, "", "MIT License"), (3, "a/x", ""), (6, "b//c/", "z")]
     df = files(spark, rows).withColumn("own", F.lit(1)).withColumn("dir", F.lit("q")).withColumn("license", F.lit(None).cast("string"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trawl.llm.decontaminate import contaminated
 from trawl.llm.html import page_texts
@@ -58,9 +57,9 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path of their own: each is alone in its directory, so none inherits another's licence."""
+    """Documents with a path inherit along its directories; a table without paths has nothing to inherit by, and that stage is left out."""
     docs = _table(spark, sf_dir, "documents")
-    return licenses(docs.withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("/text"))))
+    return licenses(docs, path="path" if "path" in docs.columns else None)
 
 
 QUERIES = {
