@@ -361,6 +361,46 @@ def test_simhash_recall_by_distance(spark, apart):
     print(f"recall at {apart} bits: {len(found) / 1500:.3f}")
 
 
+def signatures(spark, bits):
+    sig = np.packbits(bits, axis=1).copy().view(">u8").astype(np.uint64).view(np.int64)
+    return spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(sig)], "doc_id long, s0 long, s1 long, s2 long, s3 long")
+
+
+def test_simhash_unrelated_signatures_give_no_rows(spark, monkeypatch):
+    # Texts of one language share bits: each agrees with the language's in seven of ten. Their chance encounters grow with the square of the table, so none may leave its task.
+    rng = np.random.default_rng(3)
+    bits = (rng.random((6000, simhash.BITS)) < 0.3).astype(np.uint8)
+    bits[1:100:2] = bits[:100:2]
+    bits[1:100:2, :10] ^= 1
+    written, real = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, what: [out := real(df, what), written.append(out.count())][0])
+    found = {(r["a"], r["b"]) for r in simhash.near_edges(signatures(spark, bits)).collect()}
+    assert found == {(i, i + 1) for i in range(0, 100, 2)}
+    assert sum(written) <= 5 * 4 * 50, written  # each pair once a round and slot, and nothing else
+
+
+@pytest.mark.parametrize("copies", [60, 700])  # searched in one matrix, and node by node
+def test_simhash_hot_key(spark, copies):
+    # All agree in every bit but 120: one chain of copies, in which only neighbours are near, and strangers.
+    rng = np.random.default_rng(copies)
+    bits = np.repeat(rng.integers(0, 2, (1, simhash.BITS), dtype=np.uint8), copies + 40, axis=0)
+    for i in range(copies):
+        bits[i, 136:] = (np.arange(120) < 120 * i // copies) ^ bits[i, 136:]
+    bits[copies:, 136:] = rng.integers(0, 2, (40, 120), dtype=np.uint8)
+    order = rng.permutation(len(bits))
+    bits = bits[order]
+    apart = (bits[:, None] != bits[None]).sum(axis=2)
+    near = [(a, b) for a, b in np.argwhere(apart <= simhash.DISTANCE).tolist() if a < b]
+    found = [(r["a"], r["b"]) for r in simhash.near_edges(signatures(spark, bits)).collect()]
+    assert set(found) <= set(near)
+    ids = range(len(bits))
+    assert brute.union_find(found, ids) == brute.union_find(near, ids)
+    sig = np.packbits(bits, axis=1).copy().view(">u8").astype(np.uint64)
+    searched = [tuple(sorted(x)) for x in np.stack(simhash._searched(sig, simhash.DISTANCE), axis=1).tolist()]
+    assert set(searched) <= set(near) and len(searched) < len(bits)
+    assert brute.union_find(searched, ids) == brute.union_find(near, ids)
+
+
 def test_simhash_near_copies(spark, docs):
     rng = np.random.default_rng(5)
     base = [r["text"] for r in docs.filter("n_chars between 1500 and 4000").orderBy("doc_id").limit(30).collect()]
