@@ -414,3 +414,14 @@ def test_fuzzy_says_when_it_cuts(spark, demo, monkeypatch):
     monkeypatch.setattr(rank, "EXPANSIONS", 1)
     with pytest.warns(UserWarning, match="expands"):
         rank.rank(demo, "fox dog", 10, "fuzzy", distance=1)
+
+
+def test_images_are_decoded_once_and_repeated_ids_stay_apart(spark):
+    schema = IndexSchema.parse({"fields": {"icon": {"type": "image", "max_kb": 4}}})
+    raws = [(1, json.dumps({"icon": {"content": base64.b64encode(b"a").decode()}})), (1, json.dumps({"icon": {"content": base64.b64encode(b"bcd").decode()}})), (2, json.dumps({"icon": {}}))]
+    kept = documents.prepared(spark.createDataFrame(raws, "doc_id long, raw string"), schema, F.lit(5).cast("long"))
+    sizes = kept.select("doc_id", F.get_json_object("raw", "$.icon.bytes").cast("long").alias("bytes"), "images")
+    out = documents.image_base64(sizes, "icon", "bytes")
+    assert sorted(map(tuple, out.select("doc_id", "bytes", "content").collect())) == [(1, 1, "YQ=="), (1, 3, "YmNk")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unbase64(") == 1 and plan.count("crc32(") <= 1

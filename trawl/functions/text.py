@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def crc32_hex(data: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.crc32(data))), 8, "0")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_base64(data: Column) -> Column:
     """Base64 on one line."""
     return F.regexp_replace(F.base64(data), "[\r\n]", "")
@@ -54,7 +60,8 @@ def to_base64(data: Column) -> Column:
 
 def from_base64(text: Column) -> Column:
     """Bytes of base64 text: other characters are skipped, an incomplete last group is dropped to whole bytes, and nothing raises."""
-    clean = F.regexp_replace(F.regexp_replace(text, "=.*$", ""), "[^A-Za-z0-9+/]", "")
-    rest = F.length(clean) % 4
-    whole = F.when(rest == 1, F.left(clean, F.length(clean) - 1)).otherwise(clean)
-    return F.unbase64(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="))
+    def decoded(clean: Column) -> Column:
+        whole = F.when(F.length(clean) % 4 == 1, F.left(clean, F.length(clean) - 1)).otherwise(clean)
+        return F.unbase64(let(whole, lambda w: F.rpad(w, (F.ceil(F.length(w) / 4) * 4).cast("int"), "=")))
+
+    return let(F.regexp_replace(F.regexp_replace(text, "=.*$", ""), "[^A-Za-z0-9+/]", ""), decoded)

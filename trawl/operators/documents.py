@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import crc32_hex, from_base64, to_base64
+from trawl.functions.text import crc32_hex, from_base64, let, to_base64
 from trawl.functions.variants import elements_of, field_of, kind_of, object_of
 from trawl.operators.ordering import global_rank
 from trawl.schema import IndexSchema
@@ -81,7 +81,7 @@ def external_id(schema: IndexSchema, doc: Column) -> Column:
 def merged(old: Column, new: Column) -> Column:
     """JSON text of the top-level merge of two JSON texts: keys of `new` replace those of `old`."""
     a, b = object_of(F.try_parse_json(old)), object_of(F.try_parse_json(new))
-    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b), {"ignoreNullFields": "false"})
+    return let(b, lambda y: F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(y, k)), y), {"ignoreNullFields": "false"}))
 
 
 def prepared(docs: DataFrame, schema: IndexSchema, now: Column | None = None, raw: str = "raw") -> DataFrame:
@@ -92,19 +92,20 @@ def prepared(docs: DataFrame, schema: IndexSchema, now: Column | None = None, ra
     """
     millis = F.unix_millis(F.current_timestamp()) if now is None else now
     out = parsed(docs, raw)
-    stamp = F.to_json(F.struct(F.coalesce(F.try_variant_get(F.col("_doc"), "$._created_at", "bigint"), millis).alias("_created_at"), millis.alias("_updated_at")))
-    text, given_images = merged(F.col(raw), stamp), []
-    for name in schema.names("image"):
-        given = field_of(F.col("_doc"), name)
-        content = F.try_variant_get(given, "$.content", "string")
-        data = from_base64(content)
-        meta = F.struct(F.struct(F.coalesce(F.try_variant_get(given, "$.format", "string"), F.lit("")).alias("format"), F.length(data).alias("bytes"), crc32_hex(data).alias("hash")).alias(name))
-        text = F.when(content.isNotNull(), merged(text, F.to_json(meta))).otherwise(text)
+    changed = [F.coalesce(F.try_variant_get(F.col("_doc"), "$._created_at", "bigint"), millis).alias("_created_at"), millis.alias("_updated_at")]
+    given_images = []
+    for i, name in enumerate(schema.names("image")):
+        # Columns of their own: whatever uses the content or its bytes reads them, and an image is decoded once.
+        given, data = field_of(F.col("_doc"), name), F.col(f"_data{i}")
+        out = out.withColumn(f"_content{i}", F.try_variant_get(given, "$.content", "string")).withColumn(f"_data{i}", from_base64(F.col(f"_content{i}")))
+        meta = F.struct(F.coalesce(F.try_variant_get(given, "$.format", "string"), F.lit("")).alias("format"), F.length(data).alias("bytes"), crc32_hex(data).alias("hash"))
+        changed.append(F.when(F.col(f"_content{i}").isNotNull(), meta).alias(name))
         given_images.append(F.struct(F.lit(name).alias("key"), data.alias("value")))
+    text = merged(F.col(raw), F.to_json(F.struct(*changed)))
     none = F.create_map().cast("map<string,binary>")
     new = F.map_from_entries(F.filter(F.array(*given_images), lambda e: e["value"].isNotNull())) if given_images else none
     old = F.map_filter(F.coalesce("images", none), lambda k, _: ~F.map_contains_key(new, k)) if "images" in docs.columns else none
-    return out.withColumn(raw, text).withColumn("images", F.map_concat(old, new)).drop("_doc")
+    return out.withColumn(raw, text).withColumn("images", F.map_concat(old, new)).drop("_doc", *(f"_{x}{i}" for i, _ in enumerate(given_images) for x in ("content", "data")))
 
 
 def bulk(batch: DataFrame, schema: IndexSchema, existing: DataFrame | None = None, continue_on_error: bool = True, ordinal: str = "ordinal", raw: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -193,7 +194,11 @@ def column_match(docs: DataFrame, column: str, value: object, id_col: str = "doc
     return docs.filter(hit).select(F.col(id_col).alias("doc_id"))
 
 
-def image_base64(docs: DataFrame, field: str) -> DataFrame:
-    """(doc_id, content): a stored image's bytes as base64 on one line."""
-    data = F.element_at("images", F.lit(field))
-    return docs.filter(data.isNotNull()).select("doc_id", to_base64(data).alias("content"))
+def image_base64(docs: DataFrame, field: str, *columns: str) -> DataFrame:
+    """(doc_id, content) and the given columns: a stored image's bytes as base64 on one line, of documents that have it.
+
+    Documents without the image leave by a generator and not by a filter, which Spark would move
+    below the decoding and so decode everything twice.
+    """
+    data = F.filter(F.array(F.element_at("images", F.lit(field))), lambda d: d.isNotNull())
+    return docs.select("doc_id", *columns, F.explode(data).alias("_data")).select("doc_id", to_base64(F.col("_data")).alias("content"), *columns)

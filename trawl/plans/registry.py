@@ -534,7 +534,7 @@ def image_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", raw.alias("raw"))
     kept = documents.prepared(docs, IndexSchema.parse({"fields": {"icon": {"type": "image", "max_kb": 1024}}}), F.lit(0).cast("long"))
     meta = kept.select("doc_id", F.get_json_object("raw", "$.icon.bytes").cast("long").alias("bytes"), "images")
-    return documents.image_base64(meta, "icon").join(meta.select("doc_id", "bytes"), "doc_id").select("doc_id", "bytes", "content")
+    return documents.image_base64(meta, "icon", "bytes").select("doc_id", "bytes", "content")
 
 
 @register("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source")
