@@ -425,3 +425,17 @@ def test_images_are_decoded_once_and_repeated_ids_stay_apart(spark):
     assert sorted(map(tuple, out.select("doc_id", "bytes", "content").collect())) == [(1, 1, "YQ=="), (1, 3, "YmNk")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("unbase64(") == 1 and plan.count("crc32(") <= 1
+
+
+def test_exact_neighbours_of_some_with_ties_zeros_and_short_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(150, 4)), np.repeat(rng.normal(size=(5, 4)), 20, axis=0), np.zeros((3, 4)), rng.normal(size=(3, 4)) * 1e-5]).astype(np.float32)
+    ids = rng.permutation(len(x)).astype(int) * 3
+    vecs = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "doc_id long, vec array<float>").repartition(5)
+    queries = vecs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    found = ann.exact_neighbours(queries, vecs, 7, block=16)
+    assert "Explode" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1], "vectors are packed before they are sent to each block"
+    d = x.astype(np.float64)
+    scores = np.round(d @ d.T / (np.linalg.norm(d, axis=1)[:, None] * np.linalg.norm(d, axis=1) + 1e-9), 6)
+    want = {(int(q), r + 1): (int(ids[j]), scores[i, j]) for i, q in enumerate(ids) if q % 2 == 0 for r, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (-scores[i, j], ids[j]))[:7])}
+    assert {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found.collect()} == want

@@ -321,7 +321,7 @@ def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def vector_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs, queries_ = _queried(spark, sf_dir)
-    exact = ann.neighbour_graph(vecs, 9).select(F.col("doc_id").alias("query_id"), F.col("neighbour").alias("doc_id")).join(queries_.select("query_id"), "query_id", "left_semi")
+    exact = ann.exact_neighbours(queries_, vecs, 9).select("query_id", "doc_id")
     return ann.recall_at_k(vector_graph(spark, sf_dir), exact, 9)
 
 
