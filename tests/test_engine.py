@@ -5,16 +5,19 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import ascii_lower, crc32_hex, from_base64, term_frequency, to_base64, tokenize, tokens
+from trawl.functions.text import ascii_lower, crc32_hex, from_base64, term_counts, term_frequency, to_base64, tokenize, tokens
 from trawl.operators import ann, documents, filters, rank, relations
+from trawl.operators import index as index_module
 from trawl.operators.index import SearchIndex
 from trawl.operators.ordering import global_rank
 from trawl.operators.search import search
@@ -439,3 +442,42 @@ def test_exact_neighbours_of_some_with_ties_zeros_and_short_vectors(spark):
     scores = np.round(d @ d.T / (np.linalg.norm(d, axis=1)[:, None] * np.linalg.norm(d, axis=1) + 1e-9), 6)
     want = {(int(q), r + 1): (int(ids[j]), scores[i, j]) for i, q in enumerate(ids) if q % 2 == 0 for r, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (-scores[i, j], ids[j]))[:7])}
     assert {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found.collect()} == want
+
+
+ODD_TEXTS = ["a B b", None, "", "é", "x9é9X", "b", "--", "A-a", "ünd b", "1 2 1"]
+
+
+def test_terms_of_a_lot_are_counted_as_tokens_are():
+    for texts in (ODD_TEXTS, [], [None], ["a", "b"], ["", "a"]):
+        vocabulary, term, row, counts, sizes = term_counts(pa.array(["skipped", *texts], pa.string()).slice(1))
+        names = vocabulary.to_pylist()
+        want = {(t, i): n for i, x in enumerate(texts) for t, n in Counter(tokenize(x or "")).items()}
+        assert {(names[t], int(i)): int(n) for t, i, n in zip(term, row, counts)} == want
+        assert sizes.tolist() == [len(tokenize(x or "")) for x in texts] and names == sorted(names)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_index_by_lots_of_documents(spark, monkeypatch, repeated):
+    monkeypatch.setattr(index_module, "RANGE", 300)
+    monkeypatch.setattr(index_module, "LOT_BYTES", 1000)
+    rng = np.random.default_rng(1)
+    ids = [int(i) for i in rng.permutation(1000)] + [3] * repeated
+    texts = [" ".join(f"w{int(j)}" for j in rng.zipf(1.6, 12) if j < 300) + " hot" for _ in ids]
+    index = SearchIndex(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(7), IndexSchema.parse({"fields": {"text": "text"}}))
+    counted = Counter((t, i) for i, x in zip(ids, texts) for t in tokenize(x))
+    assert {(r["term"], r["doc_id"]): r["tf"] for r in index.postings().collect()} == counted
+    assert {r["term"]: r["df"] for r in index.document_frequencies().collect()} == Counter(t for t, _ in counted)
+    assert tuple(index.statistics().first()) == (len(ids), sum(counted.values()), len({t for t, _ in counted}), len(counted))
+    by_term = {t: sorted(i for u, i in counted if u == t) for t, _ in counted}
+    assert sorted(tuple(r) for r in index.skip_pointers(8).select("term", "position", "doc_id").collect()) == sorted((t, p, i) for t, d in by_term.items() for p, i in enumerate(d) if p % 8 == 0)
+    shuffled = "Exchange hashpartitioning(term" in index.postings()._jdf.queryExecution().executedPlan().toString()
+    assert shuffled == repeated
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_deletion_sorts_no_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(index_module, "BROADCAST_IDS", most)
+    index = SearchIndex(spark.createDataFrame([(i, f"t{i} x") for i in range(8)], "doc_id long, text string"), IndexSchema.parse({"fields": {"text": "text"}}))
+    left = index.without(spark.createDataFrame([(1,), (1,), (5,), (77,)], "doc_id long"))
+    assert "SortMergeJoin" not in left.docs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in left.postings().filter("term = 'x'").collect()) == [0, 2, 3, 4, 6, 7]

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import term_frequency, token_count, tokens
+from trawl.functions.text import term_counts, term_frequency, token_count
 from trawl.schema import IndexSchema
 from trawl.sources.files import read_text, write_text
 
 SKIP = 8
 #: Queries of at most this many terms are counted in the documents' rows; longer ones meet the postings in a join.
 WIDE_TERMS = 32
+#: Bytes of text whose terms are counted at once, documents of a range of ids whose postings of a term a task holds, and ids that are broadcast at most.
+LOT_BYTES, RANGE, BROADCAST_IDS = 16 << 20, 4_000_000, 4_000_000
 
 
 def rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
@@ -61,16 +65,29 @@ class SearchIndex:
         """(term, doc_id, tf, doc_len)."""
         if self.stored_postings is not None:
             return self.stored_postings
-        found = self.docs.select(F.col(self.id_col).alias("doc_id"), tokens(self.bag()).alias("_t"))
-        exploded = found.select("doc_id", F.size("_t").cast("long").alias("doc_len"), F.explode("_t").alias("term"))
-        return exploded.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "doc_len")
+        found = self._counted(_rows_of, "term string, doc_id long, tf long, doc_len long")
+        return found if self._unique() else found.groupBy("term", "doc_id", "doc_len").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "doc_len")
+
+    def _counted(self, emit: Callable, schema: str) -> DataFrame:
+        """What emit makes of the terms of each lot of documents: their ids, and the results of `term_counts`. A map pass, without a shuffle."""
+        return self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), self.bag().alias("text")).mapInArrow(_by_lot(emit), schema)
+
+    def _ids(self) -> tuple[int, int, int, int]:
+        """Documents, different ids, and the least and greatest id."""
+        own = F.col(self.id_col)
+        return tuple(self.docs.agg(F.count("*"), F.count_distinct(own), F.coalesce(F.min(own), F.lit(0)), F.coalesce(F.max(own), F.lit(0))).first())
+
+    def _unique(self) -> bool:
+        """Whether no id repeats, so that a document's counts are its postings; else they have to meet by id."""
+        n, different, *_ = self._ids()
+        return n == different
 
     def postings(self) -> DataFrame:
         """(term, doc_id, tf)."""
         if self.stored_postings is not None:
             return self.stored_postings.select("term", "doc_id", "tf")
-        exploded = self.docs.select(F.col(self.id_col).alias("doc_id"), F.explode(tokens(self.bag())).alias("term"))
-        return exploded.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        found = self._counted(_rows_of, "term string, doc_id long, tf long, doc_len long").select("term", "doc_id", "tf")
+        return found if self._unique() else found.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
     def corpus(self) -> DataFrame:
         """One row: n_docs, n_tokens, avgdl (1.0 if no document has a token, as scores divide by it)."""
@@ -83,7 +100,21 @@ class SearchIndex:
         """(term, df); a filter on the term reaches the saved index."""
         if self.stored_terms is not None:
             return self.stored_terms
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+        if not self._unique():
+            return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+        return self._totals().filter("term is not null").select("term", "df")
+
+    def _totals(self) -> DataFrame:
+        """(term, df, n_docs, n_tokens): a row a term, and one without a term for the documents and tokens. Ids must not repeat."""
+        return self._counted(_totals_of, "term string, df long, n_docs long, n_tokens long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "n_docs", "n_tokens")))
+
+    def statistics(self) -> DataFrame:
+        """One row: n_docs, n_tokens, n_terms, n_postings, in one pass over the texts."""
+        if self.stored_postings is None and self._unique():
+            sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_docs", "n_docs"), ("n_tokens", "n_tokens"))]
+            return self._totals().agg(*sums, F.count("term").alias("n_terms"), F.sum("df").alias("n_postings"))
+        terms = self.document_frequencies().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+        return self.corpus().select("n_docs", "n_tokens").crossJoin(F.broadcast(terms))
 
     def matches(self, terms: dict[str, int]) -> DataFrame:
         """(term, qtf, doc_id, tf, doc_len, df) of a saved index's postings of the given terms; only their row groups are read."""
@@ -94,12 +125,21 @@ class SearchIndex:
 
     def skip_pointers(self, stride: int = SKIP) -> DataFrame:
         """(term, position, doc_id): every stride-th posting of each term, for inspection."""
-        position = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
-        return self.postings().select("term", position.alias("position"), "doc_id").filter(F.col("position") % stride == 0)
+        n, different, least, most = self._ids() if self.stored_postings is None else (0, 1, 0, 0)
+        if n != different:
+            position = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
+            return self.postings().select("term", position.alias("position"), "doc_id").filter(F.col("position") % stride == 0)
+        # A lot's postings of a term are one row, which meet by term in order of ranges of ids.
+        ranges = max(1, -(-n // RANGE))
+        width = (most - least) // ranges + 1
+        lots = self._counted(_lists_of(least, width), "term string, range long, ids binary")
+        return lots.repartition("term").sortWithinPartitions("term", "range").mapInArrow(_strided(stride), "term string, position long, doc_id long")
 
     def without(self, deleted: DataFrame) -> SearchIndex:
         """The index without the documents of (doc_id)."""
         gone = deleted.select(F.col("doc_id").alias(self.id_col))
+        # Only ids are held in memory: a sort-merge join would sort the texts.
+        gone = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
         return replace(self._less(deleted.select("doc_id")), docs=self.docs.join(gone, self.id_col, "left_anti"))
 
     def _less(self, gone: DataFrame) -> SearchIndex:
@@ -162,6 +202,103 @@ class SearchIndex:
         return SearchIndex(self.docs, self.schema, self.id_col, *parts, tuple(json.loads(read_text(self.docs.sparkSession, f"{path}/counts.json"))))
 
 
+def _by_lot(emit: Callable) -> Callable:
+    """Counts the terms of (doc_id, text) lot by lot, of LOT_BYTES of text or one document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                limit = (ends[start - 1] if start else 0) + LOT_BYTES
+                end = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+                yield from emit(ids.slice(start, end - start), *term_counts(texts.slice(start, end - start)))
+                start = end
+
+    return run
+
+
+def _sent(columns: dict) -> Iterator[pa.RecordBatch]:
+    table = pa.table({n: c.cast(pa.string()) if isinstance(c, pa.LargeStringArray) else c for n, c in columns.items()})
+    return iter(table.to_batches(max_chunksize=1 << 17))
+
+
+def _rows_of(ids: pa.Array, vocabulary: pa.Array, term: np.ndarray, row: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(term), 1 << 17):
+        own = slice(i, i + (1 << 17))
+        yield from _sent({"term": vocabulary.take(pa.array(term[own])), "doc_id": ids.take(pa.array(row[own])), "tf": pa.array(counts[own]), "doc_len": pa.array(sizes[row[own]])})
+
+
+def _totals_of(ids: pa.Array, vocabulary: pa.Array, term: np.ndarray, row: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    nothing = np.zeros(len(vocabulary), np.int64)
+    yield from _sent({"term": vocabulary, "df": pa.array(np.bincount(term, minlength=len(vocabulary)).astype(np.int64)), "n_docs": pa.array(nothing), "n_tokens": pa.array(nothing)})
+    yield from _sent({"term": pa.array([None], pa.string()), "df": pa.array([None], pa.int64()), "n_docs": pa.array([len(sizes)]), "n_tokens": pa.array([int(sizes.sum())])})
+
+
+def _lists_of(least: int, width: int) -> Callable:
+    """A row a term and range of ids: the ids of its documents."""
+
+    def emit(ids: pa.Array, vocabulary: pa.Array, term: np.ndarray, row: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc = ids.to_numpy()[row]
+        parts = (doc - least) // width
+        for part in np.unique(parts):
+            t, d = term[parts == part], doc[parts == part]
+            first = np.flatnonzero(np.diff(t, prepend=-1))
+            ends = np.append(first, len(t)).astype(np.int64) * 8
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(d))])
+            for i in range(0, len(first), 1 << 17):
+                own = slice(i, i + (1 << 17))
+                yield from _sent({"term": vocabulary.take(pa.array(t[first[own]])), "range": pa.array(np.full(len(first[own]), part)), "ids": blobs.slice(i, 1 << 17).cast(pa.binary())})
+
+    return emit
+
+
+def _strided(stride: int) -> Callable:
+    """Of (term, range, ids) in order of term and range: every stride-th id of each term in order, with its position."""
+
+    def positions(table: pa.Table, offset: int) -> tuple[Iterator[pa.RecordBatch], int]:
+        """Of whole ranges; the first term's positions begin at the offset. The second result is how many ids the last term has had."""
+        terms, ids = table.column("term").combine_chunks(), table.column("ids").combine_chunks()
+        sizes = pa.compute.binary_length(ids).to_numpy() // 8
+        code = terms.dictionary_encode()
+        number = np.repeat(code.indices.to_numpy(), sizes)
+        doc = np.frombuffer(b"".join(ids.to_pylist()), np.int64)
+        order = np.lexsort((doc, number))
+        number, doc = number[order], doc[order]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        place = np.arange(len(number)) - np.repeat(first, np.diff(np.append(first, len(number))))
+        place[number == 0] += offset
+        keep = place % stride == 0
+        return _sent({"term": code.dictionary.take(pa.array(number[keep])), "position": pa.array(place[keep]), "doc_id": pa.array(doc[keep])}), int(place[-1]) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        term, had = None, 0  # the last term whose ranges were passed, and its ids so far
+
+        def passed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal term, had
+            out, count = positions(table, had if table.column("term")[0].as_py() == term else 0)
+            term, had = table.column("term")[-1].as_py(), count
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for piece in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                held.append(piece)
+                table = pa.Table.from_batches(held)
+                same = pa.compute.and_(pa.compute.equal(table.column("term"), table.column("term")[-1]), pa.compute.equal(table.column("range"), table.column("range")[-1]))
+                whole = int(np.argmax(same.to_numpy()))  # what lies before the last term's last range is complete
+                if whole:
+                    yield from passed(table.slice(0, whole))
+                    held = table.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield from passed(pa.Table.from_batches(held))
+
+    return run
+
+
 def _averaged(total: DataFrame) -> DataFrame:
     return total.withColumn("avgdl", F.when(F.col("n_tokens") > 0, F.col("n_tokens") / F.col("n_docs")).otherwise(F.lit(1.0)))
 

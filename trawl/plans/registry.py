@@ -515,9 +515,7 @@ def snapshot_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {INDEX_SQL} SELECT 'documents' AS name, n_docs, n_tokens::BIGINT AS n_tokens, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM post) AS n_postings FROM corpus")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = tables.documents(spark, sf_dir)
-    terms = index.document_frequencies().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
-    return index.corpus().select(F.lit("documents").alias("name"), "n_docs", "n_tokens").crossJoin(F.broadcast(terms))
+    return tables.documents(spark, sf_dir).statistics().select(F.lit("documents").alias("name"), "n_docs", "n_tokens", "n_terms", "n_postings")
 
 
 @register(f"SELECT '{schema_id(_EVENT_SCHEMA)}' AS schema_id")
